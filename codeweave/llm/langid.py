@@ -162,7 +162,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 if not words or not m.langs or not has_letter(list(words)):
                     out.append((UNKNOWN, 0.0, []))
                     continue
-                new = list(words.keys() - place.keys())
+                new = [w for w in words if w not in place]
                 if len(place) + len(new) > keep:
                     place.clear()
                     new = list(words)

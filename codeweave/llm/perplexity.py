@@ -229,7 +229,7 @@ def measure(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     rules.append(rule_counts(text))
                     counted.append(words := Counter(words_of(text)))
                     old = known.setdefault(lang, {})
-                    new = words.keys() - old.keys() if old else words.keys()
+                    new = [w for w in words if w not in old]
                     fresh.setdefault(lang, {}).update(dict.fromkeys(new))
                 for lang, new in fresh.items():
                     if len(known[lang]) + len(new) > keep:
