@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import knn, langid, mixing, perplexity, simhash, tokencount
+from . import chat, knn, langid, licenses, mixing, ordinal, packing, perplexity, simhash, tokencount
 from ._util import table
 
 
@@ -18,11 +18,32 @@ def op2_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ordinal.fit(docs, ordinal.graded(table(spark, sf_dir, "labels")))
+    return ordinal.classify(docs, model)
+
+
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "\\### Assistant: </turn> ok"
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat.digests(chat.format_windows(turns))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, most=2.0)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,7 +64,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_voronoi_top_k": op2_voronoi_top_k,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_chat_windows": op4_chat_windows,
+    "op5_license_scan": op5_license_scan,
     "op6_source_mixing": op6_source_mixing,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_counts": op8_token_counts,
     "op9_language_mixture": op9_language_mixture,
     "op10_quality_rules": op10_quality_rules,
