@@ -28,9 +28,10 @@ from ._util import word_count
 BROADCAST_SOURCES = 100_000
 
 
-def uniform(seed: int, *cols: Column) -> Column:
-    """A number in [0, 1) hashed from columns: 53 bits of XXH64."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) / F.lit(float(1 << 53))
+def uniform(seed: int, doc_id: Column) -> Column:
+    """A number in [0, 1) hashed from the seed and an id: 52 bits of MD5."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -67,7 +68,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
         targets = F.broadcast(targets)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    extra = (uniform(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) < rate - whole).cast("long")
+    extra = (uniform(seed, F.col("doc_id")) < rate - whole).cast("long")
     joined = sized.join(targets, sized.source.eqNullSafe(targets.s))
     return joined.select("doc_id", "source", "size", "source_size", "target", (whole + extra).alias("copies"))
 
@@ -84,7 +85,7 @@ def emit(docs: DataFrame, copies: DataFrame | None = None, seed: int = 6, id_col
     if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     joined = docs.join(targets, docs[source].cast("string").eqNullSafe(F.col("__s")))
-    draw = uniform(seed, F.coalesce(docs[id_col].cast("string"), F.lit(""))) < F.col("__rate") - F.floor("__rate")
+    draw = uniform(seed, docs[id_col]) < F.col("__rate") - F.floor("__rate")
     times = (F.floor("__rate") + draw.cast("long")).cast("int")
     kept = joined.withColumn(name, times).where(F.col(name) > 0)
     return kept.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name)))).select(*docs.columns)
