@@ -2,8 +2,8 @@
 
 P(grade >= k) is the logistic function of w.x - t_k with one weight vector for all
 grades and ordered thresholds t_1 < t_2 < ...; x holds hashed features of the
-whole text: the words in it (present or not, punctuation stripped, lower-cased), the
-shares of word shapes (runs of letters, capitals, digits and signs), the shares of
+whole text: the words in it and their beginnings of 4 to 6 bytes (present or not, punctuation
+stripped, lower-cased), the shares of word shapes (runs of letters, capitals, digits and signs), the shares of
 repeated words and of words equal to the one before, and the length's band.
 
 It is fitted on at most ``max_fit`` graded documents, those whose ids have the
@@ -20,7 +20,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -31,6 +34,9 @@ from ._util import words_of
 
 BITS = 18
 GRADES = 3
+BEGINNINGS = (4, 5, 6)
+#: Weight of shares beside the 1 of a word that is present.
+SHARE = 16
 EDGE = b".,;:!?*#$%&|<>\"'()[]{}-_=+/\\~^`"
 SHAPE = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 RUN = re.compile(rb"(.)\1+", re.S)
@@ -41,33 +47,36 @@ def bucket(kind: bytes, value: bytes = b"") -> int:
 
 
 class Features:
-    """Hashed features of texts; buckets of words are remembered, ``keep`` at most."""
+    """Hashed features of texts; buckets of words are remembered, ``keep`` words at most."""
 
-    def __init__(self, keep: int = 400_000):
+    def __init__(self, keep: int = 300_000):
         self.keep = keep
-        self.known: dict[bytes, tuple[int, int]] = {}
+        self.known: dict[bytes, tuple[int, tuple[int, ...]]] = {}
 
-    def _word(self, word: bytes) -> tuple[int, int]:
+    def _word(self, word: bytes) -> tuple[int, tuple[int, ...]]:
+        """Buckets of a word's shape, and of the word and its beginnings."""
         if len(self.known) >= self.keep:
             self.known.clear()
-        shape = RUN.sub(rb"\1", word[:64].translate(SHAPE))
-        found = self.known[word] = bucket(b"w", word.strip(EDGE).lower()), bucket(b"s", shape[:16])
+        bare = word.strip(EDGE).lower()
+        parts = [bucket(b"w", bare)] + [bucket(b"p", bare[:k]) for k in BEGINNINGS if k <= len(bare)]
+        found = self.known[word] = bucket(b"s", RUN.sub(rb"\1", word[:64].translate(SHAPE))[:16]), tuple(parts)
         return found
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         words = words_of(text)
         n = len(words)
-        at, value = [bucket(b"n", str(n.bit_length()).encode())], [1.0]
-        if n:
-            number: dict[bytes, int] = {}
-            ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
-            known = self.known
-            pairs = np.array([known.get(w) or self._word(w) for w in number], np.int64)
-            present = np.unique(pairs[:, 0])
-            shape, where = np.unique(pairs[:, 1], return_inverse=True)
-            share = np.bincount(where, weights=np.bincount(ids, minlength=len(number)), minlength=len(shape)) / n
-            at += [bucket(b"d"), bucket(b"r"), *present.tolist(), *shape.tolist()]
-            value += [4 * (1 - len(number) / n), 4 * float((ids[1:] == ids[:-1]).mean()) if n > 1 else 0.0, *[1.0] * len(present), *(4 * share).tolist()]
+        if not n:
+            return np.array([bucket(b"n", b"0")], np.int32), np.ones(1, np.float32)
+        counts, known = Counter(words), self.known
+        present: set[int] = set()
+        shapes: dict[int, int] = {}
+        for word, c in counts.items():
+            shape, parts = known.get(word) or self._word(word)
+            shapes[shape] = shapes.get(shape, 0) + c
+            present.update(parts)
+        same = sum(map(eq, words, islice(words, 1, None)))
+        at = [bucket(b"n", str(n.bit_length()).encode()), bucket(b"d"), bucket(b"r"), *shapes, *sorted(present)]
+        value = [1.0, SHARE * (1 - len(counts) / n), SHARE * same / max(1, n - 1), *(SHARE * c / n for c in shapes.values()), *[1.0] * len(present)]
         return np.array(at, np.int32), np.array(value, np.float32)
 
 
@@ -86,7 +95,7 @@ class Ordinal:
         return _logistic(float(self.weights[at] @ value) - self.thresholds)
 
 
-def fit_rows(rows: list[tuple[int, np.ndarray, np.ndarray]], least_docs: int = 4, ridge: float = 2e-3, steps: int = 400, rate: float = 0.1) -> Ordinal:
+def fit_rows(rows: list[tuple[int, np.ndarray, np.ndarray]], least_docs: int = 4, ridge: float = 5e-4, steps: int = 250, rate: float = 0.1) -> Ordinal:
     """Weights of graded feature rows by Adam on the mean log loss with a ridge; features of fewer documents have weight 0."""
     grade = np.array([r[0] for r in rows], np.int64)
     if len(np.unique(grade)) < 2:
@@ -144,8 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 6000, id_col: str = "
 
 
 def graded(docs_labels: DataFrame) -> DataFrame:
-    """Grades from ``quality`` and ``toxic``: 0 poor, 1 good but toxic, 2 good."""
-    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality").isNotNull(), 2)
+    """Grades from ``quality`` and ``toxic``: 0 toxic, 1 poor, 2 good.
+
+    Toxic words add up without bound, so that they belong at the end of the scale.
+    """
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality").isNotNull(), 2)
     return docs_labels.select("doc_id", grade.cast("int").alias("grade"))
 
 
