@@ -595,3 +595,104 @@ def tune_stability(spark, sf_dir):
 def pria(spark, sf_dir):
     found = X.pria(acc(spark, sf_dir), 2, 0.8)
     return spark.createDataFrame([(",".join(found.removed), found.variance)], "removed string, variance double")
+
+# ------------------------------------------------------- further single operators
+@query(f"WITH {EVENTS} SELECT CAST(user_id AS VARCHAR) || '::' || half AS unit_key, COUNT(*) AS n FROM ev GROUP BY 1")
+def composite_keys(spark, sf_dir):
+    return lines(spark, sf_dir).groupBy(A.composite(["user_id", "half"]).alias("unit_key")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EVENTS}, {windows_sql()}, ln AS (SELECT user_id, {_join(f'CAST(({cell(a, b)}) / (1 + {cell(a, b)}) AS DOUBLE) AS {a}__{b}' for a, b in PAIRS)} FROM w) SELECT user_id, {_join(f'ROUND(SUM({a}__{b}), 6) + 0.0 AS {a}__{b}' for a, b in PAIRS)} FROM ln GROUP BY user_id")
+def unit_counts_custom_weight(spark, sf_dir):
+    a = acc(spark, sf_dir, weight=lambda x: x / (1 + x))
+    return user(a.counts, a.names, 6)
+
+
+@query(f"WITH {EVENTS}, {windows_sql()} SELECT user_id, {_join(f'SUM(h_{c} * {c}) AS {c}' for c in CODES)} FROM w GROUP BY user_id")
+def self_connection_table(spark, sf_dir):
+    a = acc(spark, sf_dir, self_connections=True)
+    return a.self_counts.select(F.col(UNIT).cast("long").alias("user_id"), *[col(c) for c in CODES])
+
+
+@query(f"WITH {EVENTS}, {windows_sql(part='day, half')}, {lines_sql()} {unit_sql()}")
+def fixed_horizon_counts(spark, sf_dir):
+    a = A.accumulate(lines(spark, sf_dir), ["user_id"], ["day", "half"], CODES, ["ts", "event_id"], back=4, check_rows=False)
+    return user(a.counts, a.names)
+
+
+@query("SELECT user_id, ROW_NUMBER() OVER (ORDER BY MIN(ts)) - 1 AS place FROM events GROUP BY user_id")
+def units_in_order(spark, sf_dir):
+    from .plans.linalg import dense_index
+
+    first = lines(spark, sf_dir).groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("f"))
+    return dense_index(first, "f", name="place").select("user_id", "place")
+
+
+@query(f"WITH {STEPS}, r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY first_ts) AS step FROM st) SELECT user_id, MAX(step) AS step, arg_max(click__error, step) AS x, arg_max(click__view, step) AS y FROM r GROUP BY user_id")
+def trajectory_ends(spark, sf_dir):
+    a = acc(spark, sf_dir, model="SeparateTrajectory")
+    steps = a.counts.select(F.col(UNIT).alias("unit"), F.col(STEP).cast("long").alias("step"), col("click & error").alias("x"), col("click & view").alias("y"))
+    return P.trajectory_ends(steps).select(F.col("unit").cast("long").alias("user_id"), "step", "x", "y")
+
+
+UNITVALUE = "uv AS (SELECT user_id, arg_min(value, (ts, event_id)) AS x FROM events GROUP BY user_id)"
+SLOPES = [f"regr_slope({a}__{b}, x) AS b_{a}__{b}" for a, b in PAIRS]
+SNORM = "sqrt(" + " + ".join(f"b_{a}__{b}*b_{a}__{b}" for a, b in PAIRS) + ")"
+
+
+@query(f"WITH {CENTERED}, {UNITVALUE}, sl AS (SELECT {_join(SLOPES)} FROM c JOIN uv USING (user_id)) " + " UNION ALL ".join(f"SELECT '{a}__{b}' AS name, ROUND(b_{a}__{b} / {SNORM}, 7) + 0.0 AS loading FROM sl" for a, b in PAIRS))
+def regression_axis(spark, sf_dir):
+    a, c = centered(spark, sf_dir)
+    meta = A.unit_metadata(lines(spark, sf_dir), ["user_id"], ["ts", "event_id"], ["value"], constant=False)
+    space = R.Space.of(c.join(meta.select(UNIT, "value"), UNIT), a.names)
+    axis = R.regression_rotation(space, "value").matrix[:, 0]
+    return spark.createDataFrame([(flat(n), round(float(v), 7) + 0.0) for n, v in zip(a.names, axis)], "name string, loading double")
+
+
+@query(f"WITH {AXIS} SELECT user_id, {_join(f'ROUND({a}__{b} - (' + ' + '.join(f'{x}__{y}*d_{x}__{y}' for x, y in PAIRS) + f') * d_{a}__{b} / ({DNORM} * {DNORM}), 8) + 0.0 AS {a}__{b}' for a, b in PAIRS)} FROM c, df")
+def deflated_networks(spark, sf_dir):
+    a, c = centered(spark, sf_dir)
+    space = R.Space.of(c, a.names)
+    d = space.mean(F.col("half") == "even")[1] - space.mean(F.col("half") == "odd")[1]
+    return user(R.deflate(c, a.names, d / np.linalg.norm(d)), a.names, 8)
+
+
+@query(
+    f"WITH {CENTERED}, gm AS (SELECT half, COUNT(*) AS n, {_join(f'AVG({a}__{b}) AS {a}__{b}' for a, b in PAIRS)} FROM c GROUP BY half), am AS (SELECT {_join(f'AVG({a}__{b}) AS m_{a}__{b}' for a, b in PAIRS)} FROM c) "
+    + " UNION ALL ".join(f"SELECT '{a}__{b}' AS row_name, '{x}__{y}' AS col_name, ROUND(SUM(n * ({a}__{b} - m_{a}__{b}) * ({x}__{y} - m_{x}__{y})), 8) + 0.0 AS value FROM gm, am" for a, b in PAIRS for x, y in PAIRS)
+)
+def between_group_scatter(spark, sf_dir):
+    a, c = centered(spark, sf_dir)
+    s = R.scatter(R.Space.of(c, a.names), "half")
+    return spark.createDataFrame([(flat(x), flat(y), round(float(s[i, j]), 8) + 0.0) for i, x in enumerate(a.names) for j, y in enumerate(a.names)], "row_name string, col_name string, value double")
+
+
+WELCH = f"{WEIGHTS}, m AS (SELECT CAST(COUNT(CASE WHEN half='even' THEN 1 END) AS DOUBLE) n1, AVG(CASE WHEN half='even' THEN click__error END) m1, VAR_SAMP(CASE WHEN half='even' THEN click__error END) v1, CAST(COUNT(CASE WHEN half='odd' THEN 1 END) AS DOUBLE) n2, AVG(CASE WHEN half='odd' THEN click__error END) m2, VAR_SAMP(CASE WHEN half='odd' THEN click__error END) v2 FROM s), rk AS (SELECT half, RANK() OVER (ORDER BY click__error) + (COUNT(*) OVER (PARTITION BY click__error) - 1) / 2.0 AS rk FROM s), us AS (SELECT SUM(rk) FILTER (half = 'even') AS r1 FROM rk)"
+
+
+@query(f"WITH {WELCH} SELECT ROUND((m1-m2)/sqrt(v1/n1+v2/n2), 7) + 0.0 AS t, ROUND((v1/n1+v2/n2)*(v1/n1+v2/n2) / ((v1/n1)*(v1/n1)/(n1-1) + (v2/n2)*(v2/n2)/(n2-1)), 6) + 0.0 AS df, CAST(r1 - n1*(n1+1)/2 AS DOUBLE) AS u, ROUND(2*(r1 - n1*(n1+1)/2)/(n1*n2) - 1, 8) + 0.0 AS r FROM m, us")
+def group_tests(spark, sf_dir):
+    _, w = weights(spark, sf_dir)
+    x = S.compare_groups(w.withColumn("x", col("click & error")), ["x"], F.col("half") == "even", F.col("half") == "odd")["x"]
+    return spark.createDataFrame([(round(x["t"], 7) + 0.0, round(x["df"], 6) + 0.0, float(x["U"]), round(x["r"], 8) + 0.0)], "t double, df double, u double, r double")
+
+
+@query(f"WITH {NODES}, p AS (SELECT nw.user_id, " + " + ".join(f"{k + 1} * w_{c}" for k, c in enumerate(CODES)) + " AS x FROM nw) SELECT user_id, ROUND(x, 8) + 0.0 AS x FROM p")
+def centroids_of_given_nodes(spark, sf_dir):
+    a, w = weights(spark, sf_dir)
+    n = N.node_weights(w, a.names, L.index_pairs(5), CODES)
+    made = N.centroids(n, CODES, np.arange(1.0, 6.0)[:, None], ["x"])
+    return made.select(F.col(UNIT).cast("long").alias("user_id"), (F.round("x", 8) + 0.0).alias("x"))
+
+
+@query(f"WITH {WEIGHTS} SELECT ROUND(MAX(GREATEST(ABS(click__error), ABS(click__view))), 9) + 0.0 AS range FROM s")
+def axis_range(spark, sf_dir):
+    _, w = weights(spark, sf_dir)
+    return spark.createDataFrame([(round(P.axis_range(w, ["click & error", "click & view"]), 9) + 0.0,)], "range double")
+
+
+@query()
+def whole_analysis(spark, sf_dir):
+    from .analysis import analyse
+
+    return _points(analyse(lines(spark, sf_dir), ["user_id"], ["day"], CODES, ["ts", "event_id"], "half", ["even", "odd"]).model)
