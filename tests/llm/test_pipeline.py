@@ -20,8 +20,8 @@ def corpus(spark, folder):
         words = docs[k][1].split()
         words[50] = "changed"
         docs += [(1000 + k, " ".join(words)), (2000 + k, docs[k][1])]
-    docs += [(3000, None), (3001, "too short")]
-    spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    docs += [(3000, None), (3001, "too short"), (None, "too short"), (None, None), (None, " ".join(word() for _ in range(150))), (8, docs[8][1])]
+    spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return dict(docs)
 
@@ -38,12 +38,12 @@ def test_stages(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/out{k}")
         seen.append(Counter(r.doc_id for r in docs.collect()))
     classified, ruled, unique, mixed, packed = seen
-    good = {i for i, t in texts.items() if t and "###" not in t and len(t.split()) > 10}
-    assert set(ruled) == good and good <= set(classified) and not any("###" in (texts[i] or "") for i in classified)
-    assert set(unique) == {i for i in good if i < 1000} and set(unique.values()) == {1}
+    good = {i for i, t in texts.items() if i is None or t and "###" not in t and len(t.split()) > 10}
+    assert set(ruled) == good and ruled[None] == 1 and ruled[8] == 2 and good <= set(classified) and not any("###" in (texts[i] or "") for i in classified)
+    assert set(unique) == {i for i in good if i is None or i < 1000} and {i for i, n in unique.items() if n > 1} == {8}
     words = {i: len(texts[i].split()) for i in unique}
     again = {r.doc_id: r.copies for r in mixing.mix(spark.read.parquet(f"{tmp_path}/out2")).collect()}
-    assert mixed == Counter({i: c for i, c in again.items() if c})
+    assert mixed == Counter({i: c * unique[i] for i, c in again.items() if c})
     pieces = docs.collect()
     assert sum(r.length for r in pieces) == sum(words[i] * c for i, c in mixed.items())
     assert max(r.offset + r.length - r.capacity for r in pieces) <= 0 and {r.capacity for r in pieces} <= set(packing.LENGTHS)
