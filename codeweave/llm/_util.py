@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,22 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared(df: DataFrame, model: object) -> Callable[[], object]:
+    """A function that gives executors the model.
+
+    Its contents are broadcast as plain arrays and its class travels with the
+    function, so that executors need no installed copy of either.
+    """
+    kind, contents = type(model), df.sparkSession.sparkContext.broadcast(model.__dict__)
+
+    def get() -> object:
+        out = kind.__new__(kind)
+        out.__dict__.update(contents.value)
+        return out
+
+    return get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import durable
+from ._util import durable, shared
 
 HELD_OUT = 2
 BUCKETS = 1 << 16
@@ -149,10 +149,10 @@ def infer(like: np.ndarray, weight: np.ndarray, penalty: float = 3.0, least: flo
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: int = 400_000) -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score``, ``languages`` (those of the mixture)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    get = shared(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = get()
         place: dict[str, int] = {}
         like = np.empty((keep + 1, len(m.langs)), np.float32)
         for batch in batches:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import durable, words_of
+from ._util import durable, shared, words_of
 
 ORDER = 5
 KEY_BITS = 22
@@ -214,11 +214,12 @@ class Model:
 
 def measure(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: int = 400_000) -> DataFrame:
     """Rule counts and log perplexity a character (null without words) of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    get = shared(docs, model)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str | None, dict[bytes, float]] = {}
+        own_model = get()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -237,7 +238,7 @@ def measure(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                         new = {w: None for x, c in zip(langs, counted) if x == lang for w in c}
                     if new:
                         new = list(new)
-                        known[lang].update(zip(new, shared.value.log_probabilities(language_number(lang), new).tolist()))
+                        known[lang].update(zip(new, own_model.log_probabilities(language_number(lang), new).tolist()))
                 scores = []
                 for lang, words, rule in zip(langs, counted, rules):
                     old = known[lang]
