@@ -6,7 +6,7 @@ whole text: the words in it and their beginnings of 4 to 6 bytes (present or not
 stripped, lower-cased), the shares of word shapes (runs of letters, capitals, digits and signs), the shares of
 repeated words and of words equal to the one before, and the length's band.
 
-It is fitted on at most ``max_fit`` graded documents, those whose ids have the
+It is fitted on at most ``max_fit`` (4,000) graded documents, those whose ids have the
 smallest hashes, and scores every document.  The default keeps a document if its
 grade is more likely than not the highest (the tail probability).
 
@@ -27,10 +27,11 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import words_of
+from ._util import shared, words_of
 
 BITS = 18
 GRADES = 3
@@ -95,27 +96,30 @@ class Ordinal:
         return _logistic(float(self.weights[at] @ value) - self.thresholds)
 
 
-def fit_rows(rows: list[tuple[int, np.ndarray, np.ndarray]], least_docs: int = 4, ridge: float = 5e-4, steps: int = 250, rate: float = 0.1) -> Ordinal:
-    """Weights of graded feature rows by Adam on the mean log loss with a ridge; features of fewer documents have weight 0."""
-    grade = np.array([r[0] for r in rows], np.int64)
+def fit_rows(grade: np.ndarray, count: np.ndarray, at: np.ndarray, value: np.ndarray, least_docs: int = 4, ridge: float = 5e-4, steps: int = 250, rate: float = 0.1) -> Ordinal:
+    """Weights by Adam on the mean log loss with a ridge; features of fewer documents have weight 0.
+
+    ``count`` features a document stand one after another in ``at`` and ``value``.
+    """
+    grade = grade.astype(np.int64)
     if len(np.unique(grade)) < 2:
         return Ordinal(np.zeros(1 << BITS), np.full(GRADES - 1, -np.inf))
-    at = np.concatenate([r[1] for r in rows])
-    value = np.concatenate([r[2] for r in rows]).astype(float)
-    row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    often = np.bincount(at, minlength=1 << BITS) >= least_docs
-    at, value, row = at[often[at]], value[often[at]], row[often[at]]
-    used, col = np.unique(at, return_inverse=True)
+    often = (np.bincount(at, minlength=1 << BITS) >= least_docs)[at]
+    row = np.repeat(np.arange(len(grade), dtype=np.int32), count)[often]
+    at, value = at[often], value[often]
+    used = np.unique(at)
+    col = np.searchsorted(used, at).astype(np.int32)
+    del at, often
     w = np.zeros(len(used))
     share = np.array([(grade >= k).mean() for k in range(1, GRADES)]).clip(0.01, 0.99)
     t = -np.log(share / (1 - share))
     gap = np.log(np.maximum(np.diff(t), 0.05))
     p = np.concatenate((w, t[:1], gap))
     m, v = np.zeros_like(p), np.zeros_like(p)
-    n, k = len(rows), len(used)
+    n, k = len(grade), len(used)
     for step in range(1, steps + 1):
         t = p[k] + np.concatenate(([0.0], np.cumsum(np.exp(p[k + 1 :]))))
-        z = np.bincount(row, weights=p[:k][col] * value, minlength=n)
+        z = np.bincount(row, weights=p[:k].astype(np.float32)[col] * value, minlength=n)
         tail = np.hstack([np.ones((n, 1)), _logistic(z[:, None] - t), np.zeros((n, 1))])
         slope = tail * (1 - tail)
         mine = np.maximum(tail[np.arange(n), grade] - tail[np.arange(n), grade + 1], 1e-12)
@@ -125,7 +129,7 @@ def fit_rows(rows: list[tuple[int, np.ndarray, np.ndarray]], least_docs: int = 4
         np.add.at(dt, grade, up / n)
         np.add.at(dt, grade + 1, -down / n)
         dt = dt[1:GRADES]
-        g = np.concatenate((np.bincount(col, weights=dz[row] * value, minlength=k) + ridge * p[:k], [dt.sum()], [dt[j + 1 :].sum() * np.exp(p[k + 1 + j]) for j in range(GRADES - 2)]))
+        g = np.concatenate((np.bincount(col, weights=dz.astype(np.float32)[row] * value, minlength=k) + ridge * p[:k], [dt.sum()], [dt[j + 1 :].sum() * np.exp(p[k + 1 + j]) for j in range(GRADES - 2)]))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p = p - rate * (1 - step / steps) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     weights = np.zeros(1 << BITS)
@@ -133,23 +137,28 @@ def fit_rows(rows: list[tuple[int, np.ndarray, np.ndarray]], least_docs: int = 4
     return Ordinal(weights, p[k] + np.concatenate(([0.0], np.cumsum(np.exp(p[k + 1 :])))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
+def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
     """``labels``: ``doc_id``, ``grade`` from 0 to GRADES - 1.  The graded rows that are joined, and their features, are bounded by ``max_fit``."""
     graded = labels.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit).select(F.col("doc_id").alias("__id"), "grade")
     narrow = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("__text"))
-    joined = narrow.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("grade", "__text")
+    joined = narrow.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select(F.col("__id").cast("long"), "grade", "__text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for batch in batches:
-            made = [features.of(t) for t in batch["__text"]]
-            yield pd.DataFrame({"grade": batch["grade"], "at": [a for a, _ in made], "value": [v for _, v in made]})
+        for whole in batches:
+            for start in range(0, whole.num_rows, 64):
+                batch = whole.slice(start, 64)
+                made = [features.of(t.as_py()) for t in batch.column(2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], ["id", "grade", "at", "value"])
 
-    rows = joined.mapInPandas(run, "grade int, at array<int>, value array<float>").toPandas()
-    found = [(int(g), np.asarray(a, np.int32), np.asarray(v, np.float32)) for g, a, v in zip(rows["grade"], rows["at"], rows["value"])]
-    found.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
-    return fit_rows(found[:max_fit])
+    rows = joined.mapInArrow(run, "id long, grade int, at binary, value binary").toArrow()
+    rows = rows.sort_by([("id", "ascending"), ("at", "ascending")]).slice(0, max_fit)
+    count = np.array([len(x.as_buffer()) // 4 for x in rows.column("at")], np.int64)
+    at, value = (np.frombuffer(b"".join(rows.column(x).to_pylist()), kind) for x, kind in (("at", np.int32), ("value", np.float32)))
+    grade = rows.column("grade").to_numpy()
+    del rows
+    return fit_rows(grade, count, at, value)
 
 
 def graded(docs_labels: DataFrame) -> DataFrame:
@@ -163,11 +172,11 @@ def graded(docs_labels: DataFrame) -> DataFrame:
 
 def scored(docs: DataFrame, model: Ordinal, text: Column) -> Column:
     """A struct column: ``expected`` grade, ``p_ge1``, ``p_ge2``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    get = shared(docs, model)
 
     @F.pandas_udf("expected double, p_ge1 double, p_ge2 double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        features, m = Features(), shared.value
+        features, m = Features(), get()
         for texts in batches:
             tails = np.array([m.tails(*features.of(t)) for t in texts]).reshape(-1, GRADES - 1)
             yield pd.DataFrame({"expected": tails.sum(1), "p_ge1": tails[:, 0], "p_ge2": tails[:, 1]})
