@@ -175,6 +175,22 @@ def test_licences(spark):
     assert licenses.scan_licenses(frame(spark, ODD)).count() == 0
 
 
+def test_licences_of_other_spellings_and_wrapped_notices(spark):
+    gpl = licenses.TEMPLATES["GPL-3.0"][1].split()
+    wrapped = "\n".join(" * " + " ".join(gpl[k : k + 9]) for k in range(0, len(gpl), 9))
+    agpl = licenses.TEMPLATES["AGPL-3.0"][0].split()
+    prose = "Zun kra tok mir vel. " * 6 + "\n".join(" ".join(agpl[k : k + 7]) for k in range(0, len(agpl), 7)) + " Vel kra\ntok mir." * 9
+    apache = licenses.TEMPLATES["Apache-2.0"][1].replace("License. You", "License.\n\n# You").replace("at http", "at\n\n#   http")
+    texts = ["Zun kra.\nLicensed under CC BY-NC 4.0.\nTok mir.", "x\nCC BY-SA 4.0\ny", "Licensed under CC BY 4.0", f"/*\n * Copyright 2020 Somebody Else of Somewhere, and of many other places in the whole world\n *\n{wrapped}\n *\n * More words of other things that follow on\n */\nint main;", prose, f"# Copyright\n# {apache}\n\ncode = 1\n" * 2, "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    best = {}
+    for r in licenses.scan_licenses(df).collect():
+        best[r.doc_id] = max(best.get(r.doc_id, (0, "")), (r.dice, r.license))
+    assert [best[k][1] for k in range(7)] == ["CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC-BY-4.0", "GPL-3.0", "AGPL-3.0", "Apache-2.0", "CC-BY-NC-ND-4.0"]
+    own = licenses.scan_licenses(df, templates={"mine": ("zun kra tok mir vel",)}).collect()
+    assert {(r.doc_id, r.license) for r in own} == {(4, "mine")}
+
+
 # --------------------------------------------------------------------------- mixing
 def slow_targets(sizes, weights=(3, 1, 2), budget=1.5, most=2.0):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
