@@ -1,0 +1,176 @@
+"""Near-duplicate groups by the exact Jaccard similarity of word shingles.
+
+A text is the set of its shingles of ``size`` lower-cased words; texts of the same words are one
+text.  Two texts are linked if their sets have a Jaccard similarity of 4/5 or more, which is counted
+exactly on candidate pairs.  Candidates share one of ``BANDS`` bands of ``ROWS`` min-hashes, or are linked
+by the SimHash covering.  A pair with similarity 0.8 shares no band with a probability of
+(1 - 0.8^4)^32 < 5e-8, one with more still less.
+
+Pairs are tested in two rounds, so that a large group of copies gives few of them: first each text with the
+center of each of its bands, the text that shares most bands with others, which for copies of one text
+is that text or the nearest to it.  Then the texts of the bands that are still in different groups are joined by an
+exact prefix filter: with the shingles of each in order of their number of texts, two sets with a similarity of 4/5
+share one of the first n - ceil(4 n / 5) + 1, and shingles of one text alone count in no intersection.  The exact
+size bound prunes both rounds, and the prefix join also bounds the intersection by bitmaps of the shingles: a bit
+that one set has and the other lacks stands for a shingle that they do not share.
+
+Nulls and edge cases: null texts and those without a word are one text, and linked with no other.
+Fewer than ``size`` words make one shingle.  Null ids take part in links but not in the smallest id.
+Repeated rows are kept.  An empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import simhash
+from ._util import durable, words_of
+
+BANDS, ROWS = 32, 4
+#: Longs of a bitmap of shingles.
+MAPS = 16
+_LOST = [" + ".join(f"bit_count(maps{x}[{k}] & ~maps{y}[{k}])" for k in range(MAPS)) for x, y in ("ab", "ba")]
+#: Whether sizes and bitmaps allow a similarity of 4/5.
+SHARED = f"9 * least(na - ({_LOST[0]}), nb - ({_LOST[1]})) >= 4 * (na + nb)"
+_MIXERS = np.random.RandomState(5).randint(0, 1 << 63, (BANDS * ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(shingles: np.ndarray, step: int = 1 << 12) -> np.ndarray:
+    """A key for each band of min-hashes; worked in blocks, so that memory is bounded."""
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), step):
+        low = np.minimum(low, (shingles[None, at : at + step] * _MIXERS[:, :1] + _MIXERS[:, 1:]).min(1))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(simhash.LANES[0])
+    for column in low.reshape(BANDS, ROWS).T:
+        key = (key ^ column) * np.uint64(simhash.LANES[1])
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def marks(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """By row: ``doc_id``, ``tid`` (a hash of the words), SimHashes, sorted shingle hashes, their number, and band keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                tid, fps, wide, sets, bands, maps = [], [], [], [], [], []
+                for text in batch.column(1):
+                    words = [w.lower() for w in words_of(text.as_py())]
+                    shingles = np.unique(simhash.shingle_hashes(words, size, True))
+                    tid.append(xxhash.xxh64_intdigest(b" ".join(words), simhash.SEED))
+                    fps.append(simhash.majority_bits(simhash.shingle_hashes(words, 1, True)))
+                    wide.append(simhash._wide(words, size))
+                    sets.append(shingles.tobytes())
+                    bits = np.zeros(64 * MAPS, np.uint8)
+                    bits[shingles % np.uint64(64 * MAPS)] = 1
+                    maps.append(np.packbits(bits).view(np.int64).tolist())
+                    bands.append(band_keys(shingles).view(np.int64).tolist() if words else [])
+                numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (tid, fps)]
+                count = pa.array([len(s) // 8 for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array(wide, pa.binary()), pa.array(sets, pa.binary()), count, pa.array(bands, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))], ["doc_id", "tid", "fp", "wide", "shingles", "n", "bands", "maps"])
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, tid long, fp long, wide binary, shingles binary, n long, bands array<long>, maps array<long>")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs ``a``, ``b`` whose ``shingles`` have a Jaccard similarity of 4/5 or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = []
+            for one, two in zip(batch.column(2), batch.column(3)):
+                one, two = (np.frombuffer(x.as_buffer(), np.uint64) for x in (one, two))
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                near.append(5 * both >= 4 * (len(one) + len(two) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
+    held = durable(sets.select("tid", "shingles").join(wanted, "tid", "left_semi").dropDuplicates(["tid"]))
+    one = pairs.select("a", "b").join(held.select(F.col("tid").alias("a"), F.col("shingles").alias("one")), "a")
+    two = one.join(held.select(F.col("tid").alias("b"), F.col("shingles").alias("two")), "b")
+    return durable(two.select("a", "b", "one", "two").mapInArrow(run, "a long, b long"))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs of different texts whose sizes allow a similarity of 4/5."""
+    fits = (5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
+    return durable(pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct())
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, max_bits: int = 5, blocks: int = 3, confirm_bits: int = 38, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``tid`` (its text), ``root`` (its group), ``component_id`` (the smallest id of the group)."""
+    rows = durable(marks(docs, size, id_col, text_col))
+    texts = durable(rows.where("n > 0").groupBy("tid").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("bands").alias("bands"), F.first("maps").alias("maps")))
+    maps = texts.select("tid", "maps")
+    bands = texts.select("tid", "n", F.explode("bands").alias("band"))
+
+    # The candidates of the SimHash covering, between the smallest texts of the fingerprints.
+    classes = durable(texts.groupBy("fp").agg(F.min(F.struct("tid", "n")).alias("t"), F.first("wide").alias("wide")))
+    near = simhash.links(classes.select("fp", "wide"), max_bits, blocks, confirm_bits)
+    one, two = (classes.select(F.col("fp").alias(x), F.col("t.tid").alias(f"t{x}"), F.col("t.n").alias(f"n{x}")) for x in "ab")
+    covering = near.join(one, "a").join(two, "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"), "na", "nb")
+
+    held = bands.groupBy("band").agg(F.count("*").alias("held"))
+    weights = bands.join(held, "band").groupBy("tid").agg(F.sum("held").alias("weight"))
+    tested = ordered(starred(bands.join(weights, "tid"), F.col("weight")).union(covering))
+    links = confirmed(allowed(tested, maps), rows)
+    placed = bands.join(grouped(texts, links), "tid")
+    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    open_ = durable(placed.join(mixed, "band", "left_semi").select("tid", "n", "root").distinct())
+    fresh = durable(ordered(crossed(open_, rows, maps)).join(tested, ["a", "b"], "left_anti"))
+    links = links.union(confirmed(fresh, rows))
+    roots = grouped(texts, links)
+
+    out = rows.select("doc_id", "tid").join(roots, "tid", "left").select("doc_id", "tid", F.coalesce("root", "tid").alias("root"))
+    out = durable(out)
+    named = out.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return out.join(named, "root").select("doc_id", "tid", "root", "component_id")
+
+
+def allowed(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """Those of the pairs ``a``, ``b`` whose bitmaps allow a similarity of 4/5."""
+    sized = [maps.select(F.col("tid").alias(x), F.col("maps").alias(f"maps{x}")) for x in "ab"]
+    return durable(pairs.join(sized[0], "a").join(sized[1], "b").where(SHARED).select("a", "b"))
+
+
+def starred(placed: DataFrame, order) -> DataFrame:
+    """Pairs of each text and the text of its band with the largest ``order``."""
+    center = placed.groupBy("band").agg(F.max(F.struct(order.alias("o"), "tid", "n")).alias("t"))
+    far = placed.join(center, "band").where("tid <> t.tid")
+    return far.select(F.col("tid").alias("a"), F.col("t.tid").alias("b"), F.col("n").alias("na"), F.col("t.n").alias("nb"))
+
+
+def crossed(texts: DataFrame, sets: DataFrame, maps: DataFrame) -> DataFrame:
+    """Pairs of texts (``tid``, ``n``, ``root``) with different roots that share a shingle of their prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tid, held in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(held.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), tid, np.int64)), pa.array(own)], ["tid", "shingle"])
+
+    held = durable(sets.select("tid", "shingles").join(texts, "tid", "left_semi").dropDuplicates(["tid"]))
+    every = held.mapInArrow(run, "tid long, shingle long")
+    many = every.groupBy("shingle").agg(F.count("*").alias("held")).where("held > 1")
+    place = F.row_number().over(Window.partitionBy("tid").orderBy("held", "shingle"))
+    # Shingles of one text alone come first, and are only counted.
+    ranked = every.join(many, "shingle").withColumn("place", place).withColumn("most", F.count("*").over(Window.partitionBy("tid")))
+    prefix = durable(ranked.join(texts, "tid").where("n - most + place <= n - (4 * n + 4) div 5 + 1").select("shingle", "tid", "n", "root", "most"))
+    mixed = prefix.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    prefix = durable(prefix.join(mixed, "shingle", "left_semi").join(maps, "tid").select("maps", "shingle", "tid", "n", "root", "most"))
+    one, two = (prefix.select("shingle", *[F.col(c).alias(c + x) for c in ("n", "root", "most", "maps")], F.col("tid").alias(x)) for x in "ab")
+    return one.join(two, "shingle").where(f"a < b and roota <> rootb and 9 * least(mosta, mostb) >= 4 * (na + nb) and {SHARED}").select("a", "b", "na", "nb")
+
+
+def grouped(texts: DataFrame, links: DataFrame) -> DataFrame:
+    """``tid``, ``root`` for all texts."""
+    roots = simhash.components(links)
+    return durable(texts.select("tid").join(roots, F.col("tid") == F.col("node"), "left").select("tid", F.coalesce("root", "tid").alias("root")))

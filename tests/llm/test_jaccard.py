@@ -1,0 +1,50 @@
+import random
+
+import corpus_pipeline
+from codeweave.llm import jaccard
+
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def slow_groups(texts):
+    """The smallest number reachable over pairs with a five-word Jaccard similarity of 0.8 or more."""
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def copies(seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    texts = ["One two", "one  TWO", "a b c d e", "a b c d e f"]
+    for _ in range(25):
+        base = [word() for _ in range(rng.randint(40, 300))]
+        texts.append(" ".join(base))
+        for _ in range(4):  # appended and removed blocks, changed words: similarities on both sides of 0.8
+            n = len(base)
+            kind, share = rng.randrange(3), rng.uniform(0.05, 0.3)
+            copy = base + [word() for _ in range(int(n * share))] if kind == 0 else base[int(n * share) :] if kind == 1 else [word() if rng.random() < share / 6 else w for w in base]
+            texts.append("\n".join(copy))
+    return texts
+
+
+def test_groups_match_brute_force(spark):
+    texts = copies(3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()}
+    assert got == dict(enumerate(slow_groups(texts)))
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()} == set(got.values())
+    assert jaccard.near_duplicates(df.limit(0)).count() == 0
