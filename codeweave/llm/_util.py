@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but space, tab, line feed, vertical tab, form
@@ -14,14 +14,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` in the shared checkpoint folder.
+    """Cut the lineage of ``df`` in the folder of ``spark.checkpoint.dir``, which all executors must share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset, as in tests, is a local one made.
+    Only a local session, where all is one machine, gets a folder of its own if none is set.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", "") and not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="codeweave-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -56,5 +57,32 @@ def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def column(name: str) -> Column:
+    """A column by its whole name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def spread(spark: SparkSession, rows: int, each: int) -> int:
+    """Partitions for so many rows: about ``each`` a partition, and no fewer than the session's."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(rows) // each))
+
+
+def fresh(name: str, taken) -> str:
+    """``name``, lengthened until it is not among the names that are taken (letter case aside)."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, hot: int = 4096) -> DataFrame:
+    """``rows`` joined with ``table`` (a row for each key, and how many of ``rows`` have it) by ``key``, without gathering a hot key in a task.
+
+    Keys with more than 1 / ``hot`` of all rows, which are fewer than ``hot``, are broadcast; the others are joined by
+    shuffle.  Both frames should be checkpointed, as they are read twice.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    many = F.broadcast(table.where(F.col(count) * hot > total))
+    few = table.where(F.col(count) * hot <= total)
+    rest = rows.join(many.select(key), key, "left_anti").join(few, key)
+    return rows.join(many, key).unionByName(rest)

@@ -11,10 +11,12 @@ distance 1.  A fingerprint is copied to every anchor within radius + threshold
 homes with its guests.  By the triangle inequality no link is lost.
 
 Fingerprints, not documents, are copied and compared, so that a group of exact
-copies counts once however large it is.  A task that compares anchors emits a
+copies counts once however large it is.  The copies are sorted by anchor and
+streamed: a task holds ``HOLD`` rows, or those of one anchor.  It emits a
 spanning forest of the links that it found (at most one edge a fingerprint)
 and never the pairs themselves; the components are then found by star
-contraction over DataFrames.
+contraction over DataFrames.  Fingerprints of many documents are given their
+component by broadcast, the others by shuffle.
 
 Nulls and edge cases: a null text or one without a word has fingerprint 0,
 which links like any other.  Null ids take part in links but not in the
@@ -32,9 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import durable, shuffle_partitions, words_of
+from ._util import durable, hot_join, spread, words_of
 
 SEED = 42
+#: Rows of sorted copies that are compared at once.
+HOLD = 1 << 18
 #: Odd multipliers that turn one shingle hash into independent 64-bit lanes.
 LANES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -75,31 +79,16 @@ def fingerprint(text: str | None, size: int = 3, distinct: bool = False) -> int:
     return majority_bits(shingle_hashes([w.lower() for w in words_of(text)], size, distinct))
 
 
-def _wide(words: list[bytes], size: int) -> bytes:
-    """A 256-bit SimHash of the distinct shingles: four lanes of one hash."""
-    hashes = shingle_hashes(words, size, True)
-    out = b""
-    for lane in LANES:
-        mixed = hashes * np.uint64(lane)
-        mixed ^= mixed >> np.uint64(32)
-        out += majority_bits(mixed * np.uint64(LANES[0])).to_bytes(8, "big")
-    return out
-
-
-def fingerprints(docs: DataFrame, size: int = 3, distinct: bool = False, confirm_size: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``fp`` (the fingerprint as a signed long) and ``wide`` (a 256-bit SimHash of shingles of ``confirm_size`` words, empty for 0)."""
+def fingerprints(docs: DataFrame, size: int = 3, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id`` and ``fp``, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, wide = np.empty(batch.num_rows, np.uint64), []
-            for k, text in enumerate(batch.column(1)):
-                words = [w.lower() for w in words_of(text.as_py())]
-                fps[k] = majority_bits(shingle_hashes(words, size, distinct))
-                wide.append(_wide(words, confirm_size) if confirm_size else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), pa.array(wide, pa.binary())], ["doc_id", "fp", "wide"])
+            fps = np.array([fingerprint(text.as_py(), size, distinct) for text in batch.column(1)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, fp long, wide binary")
+    return narrow.mapInArrow(run, "doc_id long, fp long")
 
 
 # --------------------------------------------------------------------- anchors
@@ -160,8 +149,8 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[root[keep]]
 
 
-def _compare(key: np.ndarray, fp: np.ndarray, home: np.ndarray, wide: np.ndarray | None, max_bits: int, confirm_bits: int, step: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """Links of the rows of a task, which are sorted by key with homes first; ``step`` bounds the pairs held at once."""
+def _compare(key: np.ndarray, fp: np.ndarray, home: np.ndarray, max_bits: int, step: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Links of whole anchors, whose rows are sorted by key; ``step`` bounds the pairs held at once."""
     change = np.concatenate(([True], key[1:] != key[:-1]))
     start = np.nonzero(change)[0]
     size = np.diff(np.concatenate((start, [len(key)])))
@@ -177,12 +166,8 @@ def _compare(key: np.ndarray, fp: np.ndarray, home: np.ndarray, wide: np.ndarray
         one = np.repeat(mine[at:end], mates[at:end])
         two = np.arange(len(one)) - np.repeat(upto[at:end] - mates[at:end] - done, mates[at:end]) + start[group[one]]
         near = (np.bitwise_count(fp[one] ^ fp[two]) <= max_bits) & (fp[one] != fp[two])
-        one, two = one[near], two[near]
-        if wide is not None and len(one):
-            same = np.bitwise_count(wide[one] ^ wide[two]).sum(1, dtype=np.int64) <= confirm_bits
-            one, two = one[same], two[same]
-        if len(one):
-            a, b = _forest(fp[one].view(np.int64), fp[two].view(np.int64))
+        if near.any():
+            a, b = _forest(fp[one[near]].view(np.int64), fp[two[near]].view(np.int64))
             found_a.append(a)
             found_b.append(b)
         at = end
@@ -190,13 +175,8 @@ def _compare(key: np.ndarray, fp: np.ndarray, home: np.ndarray, wide: np.ndarray
     return _forest(a, b) if len(a) else (a, b)
 
 
-def links(classes: DataFrame, max_bits: int = 2, blocks: int = 2, confirm_bits: int = 0) -> DataFrame:
-    """Edges ``a``, ``b`` between linked fingerprints that span the groups of linked ones.
-
-    ``classes`` holds distinct fingerprints ``fp`` and, if ``confirm_bits`` is
-    not 0, their ``wide`` SimHash: then a link also needs that these differ in
-    at most so many of 256 bits.
-    """
+def links(classes: DataFrame, max_bits: int = 2, blocks: int = 2, hold: int = HOLD) -> DataFrame:
+    """Edges ``a``, ``b`` between linked fingerprints ``fp`` (distinct ones) that span the groups of linked ones."""
     if max_bits // blocks > 1:
         raise ValueError("a block may differ in one bit at most: take more blocks")
 
@@ -206,26 +186,31 @@ def links(classes: DataFrame, max_bits: int = 2, blocks: int = 2, confirm_bits:
                 batch = whole.slice(at, 8192)
                 fps = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
                 for rows, keys, home in anchors(fps, blocks):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(rows), home)), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], ["anchor", "home", "fp", "wide"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.full(len(rows), home)), batch.column(0).take(pa.array(rows))], ["anchor", "home", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        rows = pa.Table.from_batches(parts)
-        del parts
-        key, fp = (rows.column(k).to_numpy().view(np.uint64) for k in (0, 2))
-        home = rows.column(1).to_numpy()
-        order = np.lexsort((~home, key))
-        key, fp, home, wide = key[order], fp[order], home[order], None
-        if confirm_bits:
-            wide = np.frombuffer(b"".join(rows.column(3).to_pylist()), np.uint64).reshape(-1, len(LANES))[order]
-        a, b = _compare(key, fp, home, wide, max_bits, confirm_bits)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    n = shuffle_partitions(classes.sparkSession)
-    copies = classes.select("fp", "wide").mapInArrow(replicate, "anchor long, home boolean, fp long, wide binary")
-    return copies.repartition(n, "anchor").mapInArrow(compare, "a long, b long")
+        held: list[list[np.ndarray]] = []
+
+        def solve(rows: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = _compare(rows[0], rows[2].view(np.uint64), rows[1], max_bits)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        n = 0
+        for batch in batches:
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            n += batch.num_rows
+            if n >= hold:
+                rows = [np.concatenate(c) for c in zip(*held)]
+                last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last anchor may go on
+                if last:
+                    yield solve([x[:last] for x in rows])
+                held, n = [[x[last:] for x in rows]], 0
+        if held:
+            yield solve([np.concatenate(c) for c in zip(*held)])
+
+    copies = classes.select("fp").mapInArrow(replicate, "anchor long, home boolean, fp long")
+    n = spread(classes.sparkSession, classes.count() * 31, 4_000_000)
+    return copies.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
 
 
 # ------------------------------------------------------------------ components
@@ -255,15 +240,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return star.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = 2, blocks: int = 2, distinct: bool = False, confirm_size: int = 0, confirm_bits: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, max_bits: int = 2, blocks: int = 2, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fp``, ``component_id`` (the smallest id of its group)."""
-    marked = durable(fingerprints(docs, size, distinct, confirm_size, id_col, text_col))
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.first("wide").alias("wide"))
-    roots = components(links(classes, max_bits, blocks, confirm_bits))
-    hung = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
-    ids = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    hung = hung.join(ids, hung.node == ids.fp)
-    named = hung.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    group = durable(hung.join(named, "root").select("fp", "component_id"))
-    classes = ids.join(group, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return marked.select("doc_id", "fp").join(classes, "fp").select("doc_id", "fp", "component_id")
+    marked = durable(fingerprints(docs, size, distinct, id_col, text_col))
+    classes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
+    roots = components(links(classes, max_bits, blocks)).select(F.col("node").alias("fp"), "root")
+    placed = durable(classes.join(roots, "fp", "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("group")))
+    named = durable(placed.groupBy("group").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")))
+    labelled = durable(hot_join(placed, named, "group", "classes").select("fp", "component_id", "rows"))
+    return hot_join(marked, labelled, "fp", "rows").select("doc_id", "fp", "component_id")

@@ -55,7 +55,7 @@ def test_no_link_is_lost(blocks, bits):
         rows.append(r), keys.append(k), homes.append(np.full(len(r), h))
     rows, keys, homes = map(np.concatenate, (rows, keys, homes))
     order = np.lexsort((~homes, keys))
-    a, b = simhash._compare(keys[order], fps[rows[order]], homes[order], None, bits, 0, step=7)
+    a, b = simhash._compare(keys[order], fps[rows[order]], homes[order], bits, step=7)
     got = {}
     for x, y in zip(a.view(np.uint64).tolist(), b.view(np.uint64).tolist()):
         got.setdefault(x, set()).add(y), got.setdefault(y, set()).add(x)
@@ -101,3 +101,13 @@ def test_empty_and_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(200, 300), (300, 200)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
     assert got == {i: 0 for i in range(1, 71)} | {300: 200}
+
+
+def test_anchors_beyond_the_rows_held(spark):
+    rng = random.Random(11)
+    base = rng.getrandbits(63)
+    fps = sorted({base ^ (1 << a) ^ (1 << b) for a in range(62) for b in range(a + 1)} | {rng.getrandbits(63) for _ in range(500)})
+    found = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), hold=64)
+    roots = {r.node: r.root for r in simhash.components(found).collect()}
+    groups = slow_components([(f, f) for f in fps])
+    assert all(roots.get(f, f) == g for f, g in zip(fps, groups))
