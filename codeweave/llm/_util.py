@@ -86,3 +86,9 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, hot: int =
     few = table.where(F.col(count) * hot <= total)
     rest = rows.join(many.select(key), key, "left_anti").join(few, key)
     return rows.join(many, key).unionByName(rest)
+
+
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` checkpointed, and marked for broadcast if it has at most ``most`` rows."""
+    df = durable(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -65,12 +65,12 @@ def slow_model(docs):
 def slow_probability(levels, lang, symbols):
     p = None
     for n in range(1, perplexity.ORDER + 1):
-        counts = levels[n]
+        counts = {k: c for k, c in levels[n].items() if k[0] == lang}
         of = [sum(c == k for c in counts.values()) for k in (1, 2, 3, 4)]
         y = of[0] / (of[0] + 2 * of[1]) if of[0] else 0.5
         off = [min(k - 0.05, max(0.05, k - (k + 1) * y * of[k] / of[k - 1])) if of[k - 1] and of[k] else 0.75 for k in (1, 2, 3)]
         g = symbols[-n:]
-        same = {k: c for k, c in counts.items() if k[0] == lang and k[1][:-1] == g[:-1]}
+        same = {k: c for k, c in counts.items() if k[1][:-1] == g[:-1]}
         if n == 1:
             p = 1 / (len(same) + 1)
         if same:
@@ -80,30 +80,102 @@ def slow_probability(levels, lang, symbols):
     return p
 
 
+PROSE = [(t, lang) for t, lang in zip(["abc abd abc xyz", "ab ab abcd é 􏿿", "noun nun", "x"] * 2, ["en", "en", "fr", None] * 2)]
+
+
+def slow_word(levels, lang, word):
+    s = [1] * (perplexity.ORDER - 1) + [ord(c) + 3 for c in word] + [2]
+    return sum(np.log(slow_probability(levels, lang, tuple(s[k - perplexity.ORDER + 1 : k + 1]))) for k in range(perplexity.ORDER - 1, len(s)))
+
+
 def test_perplexity_against_dictionaries(spark):
-    docs = [(t, lang) for t, lang in zip(["abc abd abc xyz", "ab ab abcd é", "noun nun", "x"] * 2, ["en", "en", "fr", None] * 2)]
-    df = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(docs)], "doc_id long, text string, lang string")
-    model = perplexity.Model(perplexity.ngram_counts(df, hold=2))
-    levels = slow_model(docs)
-    for lang, words in (("en", ["abc", "abx", "zzz"]), ("fr", ["noun", "q"]), (None, ["x"]), ("de", ["abc"])):
+    df = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(PROSE)], "doc_id long, text string, lang string")
+    model = perplexity.Model(*perplexity.probabilities(perplexity.ngram_counts(df, hold=2)))
+    levels = slow_model(PROSE)
+    for lang, words in (("en", ["abc", "abx", "zzz", "􏿿"]), ("fr", ["noun", "q"]), (None, ["x"]), ("de", ["abc"])):
         got = model.log_probabilities(perplexity.language_number(lang), [w.encode() for w in words])
         for w, value in zip(words, got):
-            s = [1] * (perplexity.ORDER - 1) + [ord(c) + 3 for c in w] + [2]
-            want = sum(np.log(slow_probability(levels, lang, tuple(s[k - perplexity.ORDER + 1 : k + 1]))) for k in range(perplexity.ORDER - 1, len(s))) if lang != "de" else None
-            assert want is None or abs(value - want) < 1e-4
+            assert lang == "de" or abs(value - slow_word(levels, lang, w)) < 1e-4
+
+
+def test_ngrams_are_exact_however_many(spark):
+    rng = random.Random(12)
+    docs = [(" ".join("".join(chr(rng.randrange(0x100, 0x1600)) for _ in range(rng.randint(1, 9))) for _ in range(200)), rng.choice(["en", None, "fr"])) for _ in range(20)]
+    df = spark.createDataFrame(docs, "text string, lang string")
+    want = slow_model(docs)[perplexity.ORDER]
+    got = {(r.lang, (r.a >> 42, r.a >> 21 & 0x1FFFFF, r.a & 0x1FFFFF, r.b >> 21, r.b & 0x1FFFFF)): r.n for r in perplexity.ngram_counts(df, hold=50).collect()}
+    assert got == want
+
+
+def slow_bands(docs, min_words=50):
+    """(kept, score) of (text, lang) by dictionaries, with quartiles as Spark's percentile_approx gives them."""
+    levels, known, rows = slow_model(docs), {}, []
+    for t, lang in docs:
+        n, *_, twice = slow_rules(t)
+        for w in set((t or "").split()):
+            known.setdefault((lang, w), None)
+        rows.append((n, twice))
+    for lang, w in known:
+        known[lang, w] = slow_word(levels, lang, w)
+    score = [-sum(known[lang, w] for w in t.split()) / n if n else None for (t, lang), (n, _) in zip(docs, rows)]
+    failed = [n < min_words or 100 * twice > 50 * n for n, twice in rows]
+    out = []
+    for (_, lang), (n, _), s, f in zip(docs, rows, score, failed):
+        values = sorted({x[0]: y for x, y, g in zip(docs, score, failed) if x[1] == lang and not g}.values())
+        q1, q3 = (values[max(0, int(np.ceil(len(values) * q)) - 1)] for q in (0.25, 0.75)) if values else (0, 0)
+        wide, room = max(q3 - q1, perplexity.LEAST), perplexity.ALLOWANCE / np.sqrt(max(n, 1))
+        out.append((not f and q1 - perplexity.BELOW * wide - room <= s <= q3 + perplexity.ABOVE * wide + room, s))
+    return out
+
+
+def banded(seed=6):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(["ba", "lo", "ri", "ne", "tus"]) for _ in range(rng.randint(1, 3)))
+    docs = [(" ".join(word() for _ in range(rng.randint(55, 90))), rng.choice(["en", "fr", None])) for _ in range(60)]
+    copy = " ".join(word() for _ in range(60))
+    docs += [(copy, "en")] * 60  # a group of copies that is most of its language
+    docs += [(" ".join(word() + "%$#@"[k] + chr(0x3400 + 7 * j) * 6 for j in range(60)), "en") for k in range(3)]  # above
+    docs += [(" ".join(f"{c} {d}" for c in "ab" for d in "cdefghijklmnopqrstuvwxyz"), "fr")]
+    docs += [(" ".join(["ba lo ri ne tus", "ba ba lo", "ri ri ne", "lo tus", "ne ba"][k % 5] for k in range(3)), "en"), ("word", "de"), (None, "en"), ("", None)]
+    return docs
+
+
+@pytest.mark.parametrize("most", [0, perplexity.MOST_ENTRIES])
+def test_bands_against_brute_force(spark, most):
+    docs = banded()
+    df = spark.createDataFrame([(k, t, lang, "x", 1.0) for k, (t, lang) in enumerate(docs)], "doc_id long, text string, lang string, kept string, word double")
+    out = {r.doc_id: r for r in perplexity.quality_rules(df, most=most).collect()}
+    want = slow_bands(docs)
+    assert all(out[k].kept == kept and (s is None and out[k].log_ppl is None or abs(out[k].log_ppl - s) < 1e-4) for k, (kept, s) in enumerate(want))
+    assert all(kept for (kept, _), (t, _) in zip(want[:120], docs)) and not any(k for k, _ in want[120:123])
+    kept = perplexity.keep_good(df, most=most, min_words=5)
+    assert kept.columns == df.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(k for k, (good, _) in enumerate(slow_bands(docs, 5)) if good)
+
+
+def test_lower_band(spark):
+    """Texts of one very common word are below the band of their language, whose other texts are rare words."""
+    rng = random.Random(13)
+    rare = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    docs = [(" ".join(rare() for _ in range(70)), "en") for _ in range(60)] + [("e " * 70 + " ".join(rare() for _ in range(75)), "en")] * 1
+    low = [(" ".join(x for k in range(60) for x in ("e", rng.choice("abcdfghi") if k % 2 else rare())), "en")]
+    df = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(docs + low)], "doc_id long, text string, lang string")
+    out = perplexity.quality_rules(df, allowance=0.0).where("not base_failed").collect()
+    want = slow_bands(docs + low)
+    assert any(r.log_ppl < r.lower for r in out) and all(r.kept == (r.lower <= r.log_ppl <= r.upper) for r in out)
+    assert all(abs(r.log_ppl - want[r.doc_id][1]) < 1e-4 for r in out)
 
 
 def test_quality_rules(spark):
     clean = ["the quick brown fox " + " ".join(f"w{(k * 7 + j * 13) % 97}x{j % 10}" for j in range(80)) for k in range(40)]
-    noise = [" ".join("ﷺ꧁꧂"[k % 3] * 9 + chr(0x3400 + j) for j in range(80)) for k in range(1)]
-    df = frame(spark, ODD + clean + noise)
+    df = frame(spark, ODD + clean)
     rows = perplexity.quality_rules(df).collect()
     assert len(rows) == df.count()
-    kept = Counter(r.kept for r in rows)
-    assert kept[True] == len(clean)
+    assert Counter(r.kept for r in rows)[True] == len(clean)
     for r in rows:
         assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
-    assert perplexity.quality_rules(df.limit(0)).count() == 0
+    for most in (0, 10**6):
+        assert perplexity.quality_rules(df.limit(0), most=most).count() == 0
 
 
 # ---------------------------------------------------------------------- languages
