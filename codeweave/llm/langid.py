@@ -3,9 +3,9 @@
 A document is a mixture of languages: its words are drawn from languages with
 unknown proportions, a word's likelihood in a language being the product over
 its character trigrams (word ends included).  Expectation-maximisation finds
-the proportions; nested sets of the leading languages are then refitted, and
-the set with the best penalised likelihood (a cost of ``penalty`` x log words for
-each further language) is taken.  The prediction is the largest share in it.
+the proportions; nested sets of the leading languages, those with a share of ``least`` (2 %) or
+more, are then refitted, and the set with the best penalised likelihood (a cost of
+``penalty`` x log words for each further language) is taken.  The prediction is the largest share in it.
 
 Spark counts trigrams by language over every learning document; tasks combine
 their counts before they emit them.  A trigram is named by a 16-bit hash, so
@@ -86,8 +86,11 @@ def trigram_counts(docs: DataFrame, hold: int = 150_000) -> DataFrame:
             for text, lang in zip(batch.column(0), batch.column(1)):
                 own = held.setdefault(lang.as_py(), Counter())
                 own.update(letter_words(text.as_py()))
-                if len(own) > hold:
-                    yield counted(lang.as_py(), held.pop(lang.as_py()))
+                if len(own) > hold or len(held) > 64 and sum(map(len, held.values())) > hold:
+                    for name in list(held):
+                        if held[name]:
+                            yield counted(name, held[name])
+                    held.clear()
         for lang, own in held.items():
             if own:
                 yield counted(lang, own)
@@ -136,7 +139,7 @@ def mixture(like: np.ndarray, weight: np.ndarray, steps: int, share: np.ndarray
 def infer(like: np.ndarray, weight: np.ndarray, penalty: float = 3.0, least: float = 0.02, steps: int = 25) -> tuple[int, float, list[int]]:
     """The language with the largest share, its share, and the set taken.  Ties go to the smaller name."""
     share, _ = mixture(like, weight, steps)
-    ranked = [int(k) for k in np.argsort(-share, kind="stable") if share[k] >= least][:8] or [int(share.argmax())]
+    ranked = [int(k) for k in np.argsort(-share, kind="stable") if share[k] >= least] or [int(share.argmax())]
     best, taken, parts = -np.inf, ranked[:1], np.ones(1)
     cost = penalty * np.log(max(2.0, weight.sum()))
     for m in range(1, len(ranked) + 1):
@@ -154,7 +157,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = get()
         place: dict[str, int] = {}
-        like = np.empty((keep + 1, len(m.langs)), np.float32)
+        kept = max(1, min(keep, 16_000_000 // max(1, len(m.langs))))  # 64 MB of likelihoods, however many languages
+        like = np.empty((kept + 1, len(m.langs)), np.float32)
         for batch in batches:
             out: list[tuple[str, float, list[str]]] = []
             for value in batch.column(1):
@@ -163,10 +167,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                     out.append((UNKNOWN, 0.0, []))
                     continue
                 new = [w for w in words if w not in place]
-                if len(place) + len(new) > keep:
+                if len(place) + len(new) > kept:
                     place.clear()
                     new = list(words)
-                if len(new) > keep:  # a text with more words than are kept
+                if len(new) > kept:  # a text with more words than are kept
                     own = np.exp(m.word_scores(new)) + 1e-12
                 else:
                     if new:

@@ -13,7 +13,7 @@ That table has one short row a source; documents are never gathered by source.
 
 Nulls and edge cases: null text has size 0.  Null is a source like any other and
 comes last.  A source without words has target 0 and is emitted as its rate of
-0 says.  A null id takes the draw of an empty one.  Repeated rows share a draw.
+0 says.  Documents without an id draw by their text.  Rows of one id, and equal rows without one, share a draw.
 An empty table gives an empty result.
 """
 
@@ -22,15 +22,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import word_count
+from ._util import column, durable, fresh, small, word_count
 
 #: Sources up to this many are broadcast to the documents; more are joined by shuffle.
 BROADCAST_SOURCES = 100_000
 
 
-def uniform(seed: int, doc_id: Column) -> Column:
-    """A number in [0, 1) hashed from the seed and an id: 52 bits of MD5."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def uniform(seed: int, doc_id: Column, text: Column) -> Column:
+    """A number in [0, 1) hashed from the seed and an id, or the text where the id is null: 52 bits of MD5."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text.cast("string"), F.lit("")))))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -62,30 +62,24 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budge
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, most: float = 2.0, seed: int = 6, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``copies`` of each document."""
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    targets = source_targets(sized, weights, budget, most).select(F.col("source").alias("s"), "source_size", "target")
-    if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
+    sized = durable(docs.select(column(id_col).alias("doc_id"), column(source_col).cast("string").alias("source"), word_count(column(text_col)).alias("size"), uniform(seed, column(id_col), column(text_col)).alias("draw")))
+    targets = small(source_targets(sized, weights, budget, most).select(F.col("source").alias("s"), "source_size", "target"), BROADCAST_SOURCES)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    extra = (uniform(seed, F.col("doc_id")) < rate - whole).cast("long")
+    extra = (F.col("draw") < rate - whole).cast("long")
     joined = sized.join(targets, sized.source.eqNullSafe(targets.s))
     return joined.select("doc_id", "source", "size", "source_size", "target", (whole + extra).alias("copies"))
 
 
-def emit(docs: DataFrame, copies: DataFrame | None = None, seed: int = 6, id_col: str = "doc_id", **options) -> DataFrame:
+def emit(docs: DataFrame, seed: int = 6, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; the rate comes by source, so that texts aren't shuffled."""
-    own = set(docs.columns)
-    name = "copies"
-    while name in own:
-        name = "_" + name
+    name, key, rate = (fresh(x, docs.columns) for x in ("copies", "s", "rate"))
     source, text = options.get("source_col", "source"), options.get("text_col", "text")
-    targets = source_targets(docs.select(F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size")), *[options[k] for k in ("weights", "budget", "most") if k in options])
-    targets = targets.select(F.col("source").alias("__s"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__rate"))
-    if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    joined = docs.join(targets, docs[source].cast("string").eqNullSafe(F.col("__s")))
-    draw = uniform(seed, docs[id_col]) < F.col("__rate") - F.floor("__rate")
-    times = (F.floor("__rate") + draw.cast("long")).cast("int")
+    sizes = docs.select(column(source).cast("string").alias("source"), word_count(column(text)).alias("size"))
+    targets = source_targets(sizes, *[options[k] for k in ("weights", "budget", "most") if k in options])
+    targets = small(targets.select(F.col("source").alias(key), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias(rate)), BROADCAST_SOURCES)
+    joined = docs.join(targets, column(source).cast("string").eqNullSafe(F.col(key)))
+    draw = uniform(seed, column(id_col), column(text)) < F.col(rate) - F.floor(rate)
+    times = (F.floor(rate) + draw.cast("long")).cast("int")
     kept = joined.withColumn(name, times).where(F.col(name) > 0)
-    return kept.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name)))).select(*docs.columns)
+    return kept.withColumn(name, F.explode(F.sequence(F.lit(1), F.col(name)))).select(*[column(c) for c in docs.columns])

@@ -12,7 +12,7 @@ grade is more likely than not the highest (the tail probability).
 
 Nulls and edge cases: null or empty text has its length's band only.  Labels without
 a quality are not used; a document with several labels takes its lowest grade.
-Null ids have no label.  Without any label, or with a single grade, all
+Null ids have no label; of rows that repeat an id that is fitted one is taken, the same in each run.  Without any label, or with a single grade, all
 documents score the highest grade.  Repeated rows are kept.
 """
 
@@ -60,7 +60,7 @@ class Features:
             self.known.clear()
         bare = word.strip(EDGE).lower()
         parts = [bucket(b"w", bare)] + [bucket(b"p", bare[:k]) for k in BEGINNINGS if k <= len(bare)]
-        found = self.known[word] = bucket(b"s", RUN.sub(rb"\1", word[:64].translate(SHAPE))[:16]), tuple(parts)
+        found = self.known[word] = bucket(b"s", RUN.sub(rb"\1", word.translate(SHAPE))), tuple(parts)
         return found
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -145,15 +145,20 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 4000, id_col: str = "
     joined = narrow.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select(F.col("__id").cast("long"), "grade", "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
-        for whole in batches:
-            for start in range(0, whole.num_rows, 64):
-                batch = whole.slice(start, 64)
-                made = [features.of(t.as_py()) for t in batch.column(2)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.tobytes() for a, _ in made], pa.binary()), pa.array([v.tobytes() for _, v in made], pa.binary())], ["id", "grade", "at", "value"])
-
-    rows = joined.mapInArrow(run, "id long, grade int, at binary, value binary").toArrow()
-    rows = rows.sort_by([("id", "ascending"), ("at", "ascending")]).slice(0, max_fit)
+        features, first = Features(), {}  # by id the row with the smallest features: at most max_fit rows
+        for batch in batches:
+            for doc, grade, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                at, value = features.of(text.as_py())
+                row = at.tobytes(), value.tobytes(), grade
+                if doc not in first or row < first[doc]:
+                    first[doc] = row
+        rows = [(doc, *row) for doc, row in first.items()]
+        for start in range(0, len(rows), 64):
+            part = list(zip(*rows[start : start + 64]))
+            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[3], pa.int32()), pa.array(part[1], pa.binary()), pa.array(part[2], pa.binary())], ["id", "grade", "at", "value"])
+
+    made = joined.mapInArrow(run, "id long, grade int, at binary, value binary")
+    rows = made.groupBy("id").agg(F.min(F.struct("at", "value", "grade")).alias("r")).select("id", "r.*").toArrow().sort_by("id")
     count = np.array([len(x.as_buffer()) // 4 for x in rows.column("at")], np.int64)
     at, value = (np.frombuffer(b"".join(rows.column(x).to_pylist()), kind) for x, kind in (("at", np.int32), ("value", np.float32)))
     grade = rows.column("grade").to_numpy()

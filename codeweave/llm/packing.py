@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import word_count
+from ._util import column, durable, word_count
 
 LENGTHS = (512, 1024, 2048, 4096)
 SCHEMA = "shard long, bin long, capacity int, offset int, doc_id long, copy int, piece int, start long, length int"
@@ -104,9 +104,9 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: flo
 def pack(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, shard_tokens: int = 1 << 21, overhead: float = 0.0, quadratic: float = 0.0, id_col: str = "doc_id", text_col: str = "text", tokens=word_count) -> DataFrame:
     """A row for each piece: ``shard``, ``bin``, ``capacity``, ``offset`` in the bin, ``doc_id``, ``copy``, ``piece``, ``start`` in the document, ``length``."""
     longest = max(lengths)
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens(F.col(text_col)).cast("long").alias("n")).where("n > 0")
+    sized = docs.select(column(id_col).cast("long").alias("doc_id"), tokens(column(text_col)).cast("long").alias("n")).where("n > 0")
     # Equal rows are counted, not gathered.
-    counted = sized.groupBy("doc_id", "n").agg(F.count("*").cast("int").alias("copies"))
+    counted = durable(sized.groupBy("doc_id", "n").agg(F.count("*").cast("int").alias("copies")))
     total = counted.agg(F.sum(F.col("n") * F.col("copies"))).first()[0] or 0
     shards = max(1, -(-int(total) // shard_tokens))
     copies = counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))

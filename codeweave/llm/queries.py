@@ -102,7 +102,7 @@ SQL: dict[str, str] = {
         FROM m GROUP BY conv_id
     """,
     "op6_source_mixing": r"""
-        WITH d AS (SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+        WITH d AS (SELECT doc_id, source, text, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
              t AS (SELECT source, SUM(size)::BIGINT AS source_size FROM d GROUP BY source),
              r AS (SELECT *, [3, 1, 2][1 + (ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w, source_size * 2::DOUBLE AS cap FROM t),
              f AS (SELECT *, SUM(source_size) OVER () * 1.5::DOUBLE AS total, COALESCE(SUM(cap) OVER e, 0) AS held, SUM(w) OVER () - COALESCE(SUM(w) OVER e, 0) AS open_w
@@ -111,7 +111,7 @@ SQL: dict[str, str] = {
              h AS (SELECT *, MAX(CASE WHEN cap >= level * w THEN level END) OVER () AS shared FROM g),
              s AS (SELECT source, source_size, COALESCE(LEAST(cap, shared * w), cap) AS target FROM h),
              j AS (SELECT d.doc_id, d.size, s.source_size, s.target, CASE WHEN s.source_size > 0 THEN s.target / s.source_size ELSE 0 END AS rate,
-                          CAST('0x' || substr(md5('6:' || COALESCE(CAST(d.doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496::DOUBLE AS draw
+                          CAST('0x' || substr(md5('6:' || COALESCE(CAST(d.doc_id AS VARCHAR), md5(COALESCE(d.text, '')))), 1, 13) AS BIGINT) / 4503599627370496::DOUBLE AS draw
                    FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source)
         SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + (draw < rate - floor(rate))::INT) AS BIGINT) AS taken FROM j
     """,

@@ -36,6 +36,10 @@ MARK = "▁"
 NORMAL, BYTE = 1, 6
 
 
+class Unreached(Exception):
+    """A prefix whose last token the dynamic programme does not find; the library is asked then."""
+
+
 class PrefixCounter:
     """Counts by prefix for one model; ``keep`` bounds the prefixes that are kept."""
 
@@ -95,8 +99,8 @@ class PrefixCounter:
                 count, last = states[i - 1]
                 if one in score and (not last or follows(last, one)):
                     found = (count + 1, one)
-                elif one in score:
-                    raise AssertionError(f"no encoding ends {text[:i]!r}")
+                elif one in score:  # a model whose ties the argument does not cover
+                    raise Unreached(text[:i])
                 else:  # byte fallback: it merges with nothing
                     found = (count + len(one.encode("utf-8", "surrogatepass")), "")
             states.append(found)
@@ -123,12 +127,21 @@ class PrefixCounter:
                 state[segment[:i]] = states[i]
         return states
 
+    def _asked(self, segment: str) -> int:
+        """The library's own count; a segment that starts a line has no mark, which the library would put before it."""
+        if segment[0] == MARK:
+            return len(self.library.encode(segment[1:].replace(MARK, " "))) if len(segment) > 1 else 1
+        return len(self.library.encode("\n" + segment)) - len(self.library.encode("\n"))
+
     def segment_counts(self, segment: str) -> list[int]:
         """Counts at each prefix of a segment, the empty one first."""
         if segment[:2] == MARK * 2:  # the library puts a mark before each text
             encode = self.library.encode
             return [0, *(len(encode(segment[1:i].replace(MARK, " "))) if i > 1 else 1 for i in range(1, len(segment) + 1))]
-        return [c for c, _ in self._states(segment)]
+        try:
+            return [c for c, _ in self._states(segment)]
+        except Unreached:
+            return [0, *(self._asked(segment[:i]) for i in range(1, len(segment) + 1))]
 
     def segment_total(self, segment: str) -> int:
         known = self.total.get(segment)
@@ -136,7 +149,10 @@ class PrefixCounter:
             if segment[:2] == MARK * 2:
                 known = len(self.library.encode(segment[1:].replace(MARK, " ")))
             else:
-                known = self._states(segment)[-1][0]
+                try:
+                    known = self._states(segment)[-1][0]
+                except Unreached:
+                    known = self._asked(segment)
             if len(self.total) > self.keep:
                 self.total.clear()
             if len(segment) <= self.longest:
@@ -195,6 +211,51 @@ class PrefixCounter:
         return text[: over[0] - 1] if len(over) else text
 
 
+def truncated(docs: DataFrame, model_path: str, budget: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``text`` cut to the longest beginning of which no prefix has more than ``budget`` tokens, ``n_tokens`` of it, ``cut`` (whether anything went).
+
+    The counts at every prefix answer this without encoding again.  Null text stays null, with 0 tokens.
+    """
+    with open(model_path, "rb") as f:
+        model = f.read()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = PrefixCounter(model)
+        for batch in batches:
+            texts, counts, cut = [], [], []
+            for value in batch.column(1):
+                text = value.as_py()
+                at = counter.prefix_counts(text or "")
+                over = np.nonzero(at > budget)[0]
+                end = int(over[0]) - 1 if len(over) else len(text or "")
+                texts.append(text if text is None else text[:end])
+                counts.append(int(at[end]))
+                cut.append(end < len(text or ""))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(cut, pa.bool_())], ["doc_id", "text", "n_tokens", "cut"])
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, text string, n_tokens long, cut boolean")
+
+
+def budget_ends(docs: DataFrame, model_path: str, budgets: tuple[int, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``budget``, ``n_chars``: how many characters of each text fit each of several budgets, all from one pass over its prefixes."""
+    with open(model_path, "rb") as f:
+        model = f.read()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = PrefixCounter(model)
+        for batch in batches:
+            ends = []
+            for value in batch.column(1):
+                high = np.maximum.accumulate(counter.prefix_counts(value.as_py() or ""))  # a prefix may have more tokens than a longer one
+                ends += [int(np.searchsorted(high, b, "right")) - 1 for b in budgets]
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), len(budgets))))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(list(budgets) * batch.num_rows, pa.int64()), pa.array(ends, pa.int64())], ["doc_id", "budget", "n_chars"])
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return narrow.mapInArrow(run, "doc_id long, budget long, n_chars long")
+
+
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_tokens``, ``over_limit`` of whole texts."""
     with open(model_path, "rb") as f:
