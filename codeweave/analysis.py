@@ -46,8 +46,10 @@ def analyse(df: DataFrame, units: Sequence[str], conversation: Sequence[str], co
     if group_by is not None:
         acc.metadata = unit_metadata(df, units, order_by, [group_by], constant=False)
         extra = acc.counts.select("ENA_UNIT", FIRST).join(acc.metadata.select("ENA_UNIT", col(group_by)), "ENA_UNIT")
-        seen = [r[0] for r in extra.groupBy(col(group_by)).agg(F.min(FIRST).alias("f")).orderBy("f").limit(1000).collect()]
-        chosen = resolve_groups(seen, groups)
+        first = extra.groupBy(col(group_by)).agg(F.min(FIRST).alias("f"))
+        # The groups asked for are looked up, and else the first two taken, so that the values need not be gathered.
+        found = first.where(col(group_by).isin(list(groups))) if groups is not None else first.orderBy("f").limit(2)
+        chosen = resolve_groups([r[0] for r in found.orderBy("f").collect()], groups)
     if not chosen:
         return Analysis(fit(acc, dims), [])
     pair = group_pair(group_by, *chosen)

@@ -61,3 +61,16 @@ def normal_quantile(p: float) -> float:
 
 def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
+
+
+def u_two_sided(u: float, n1: int, n2: int) -> float:
+    """Two-sided tail of Mann-Whitney's U without ties, from the counts of all orders."""
+    # ways[k]: orders of the units taken so far with a U of k; the counts are the coefficients of a Gaussian binomial.
+    ways = [1] + [0] * (n1 * n2)
+    for k in range(1, n1 + 1):
+        for j in range(n1 * n2, n2 + k - 1, -1):
+            ways[j] -= ways[j - n2 - k]
+        for j in range(k, n1 * n2 + 1):
+            ways[j] += ways[j - k]
+    low = int(min(u, n1 * n2 - u))
+    return min(1.0, 2 * sum(ways[: low + 1]) / sum(ways))

@@ -25,6 +25,7 @@ class Accumulation:
     layout: str = "unordered"
     by: list[str] = field(default_factory=lambda: [UNIT])
     parameters: dict = field(default_factory=dict)
+    options: dict = field(default_factory=dict)
     self_counts: DataFrame | None = None
     misses: DataFrame | None = None
     metadata: DataFrame | None = None
@@ -115,7 +116,15 @@ class Model:
         row = self._one(self.line_weights, unit)
         return {n: row[n] for n in self.accumulation.names}
 
-    def summary(self) -> str:
+    def summary(self, correlations: bool = True) -> str:
+        """Units, codes and connections, the variance and eigenvalue of each dimension, and how well points and centroids agree (Pearson's r)."""
+        from .operators.stats import fit_correlation
+
         a = self.accumulation
-        share = ", ".join(f"{d} {v:.3f}" for d, v in zip(self.dimensions, self.variance))
-        return f"{self.points.count()} units, {len(a.codes)} codes, {len(a.names)} connections ({a.layout}); variance: {share}"
+        lines = [f"{self.points.count()} units, {len(a.codes)} codes, {len(a.names)} connections ({a.layout})"]
+        found = fit_correlation(self.points, self.centroids, self.dimensions, a.by, FIRST) if correlations and FIRST in self.points.columns else {}
+        for k, (d, v) in enumerate(zip(self.dimensions, self.variance)):
+            value = self.rotation.eigenvalues[k] if k < len(self.rotation.eigenvalues) else float("nan")
+            r = f", correlation {found[d][0]:.3f}" if d in found else ""
+            lines.append(f"{d}: variance {v:.3f}, eigenvalue {value:.4g}{r}")
+        return "\n".join(lines)

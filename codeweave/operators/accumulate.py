@@ -27,13 +27,37 @@ INFINITE = math.inf
 TRAJECTORIES = ("EndPoint", "SeparateTrajectory", "AccumulatedTrajectory")
 
 
+def key_part(value: Column, separator: str = "::") -> Column:
+    """A part of a key as text such that different rows of parts never join into one key.
+
+    Ordinary values stay as they are.  One that holds the separator or an escape, or begins or ends with the separator's
+    sign, has its signs escaped (``%25`` and ``%3A`` for ``%`` and ``:``), and null is ``%00``.
+    """
+    sign = separator[0]
+    escape = f"%{ord(sign):02X}"
+    text = value.cast("string")
+    odd = text.contains(separator) | text.startswith(sign) | text.endswith(sign) | text.contains(escape) | text.contains("%25") | text.contains("%00")
+    escaped = F.replace(F.replace(text, F.lit("%"), F.lit("%25")), F.lit(sign), F.lit(escape))
+    return F.coalesce(F.when(odd, escaped).otherwise(text), F.lit("%00"))
+
+
 def composite(columns: Sequence[str], separator: str = "::") -> Column:
-    """Columns joined into one key."""
-    return F.concat_ws(separator, *[col(c).cast("string") for c in columns])
+    """Columns joined into one key, another for each row of values (see ``key_part``)."""
+    return F.concat_ws(separator, *[key_part(col(c), separator) for c in columns])
+
+
+def only_units(df: DataFrame, units_used: Sequence[str] | DataFrame | None, name: str = UNIT) -> DataFrame:
+    """The rows of the units wanted: a list of their names, or a DataFrame whose first column holds them, which is joined."""
+    if units_used is None:
+        return df
+    if isinstance(units_used, DataFrame):
+        wanted = units_used.select(col(units_used.columns[0]).cast("string").alias("__wanted"))
+        return df.join(wanted, F.col(name) == F.col("__wanted"), "left_semi")
+    return df.where(F.col(name).isin(list(units_used)))
 
 
 def check_keys(df: DataFrame, columns: Sequence[str], separator: str = "__") -> None:
-    """Raise if two different rows of key columns join into one key."""
+    """Raise if two different rows of key columns join into one plain key, as names for other tools would (``composite`` keeps them apart)."""
     keys = df.select(*[col(c).cast("string").alias(f"k{n}") for n, c in enumerate(columns)]).distinct()
     clash = keys.groupBy(F.concat_ws(separator, *keys.columns).alias("k")).count().where("count > 1").first()
     if clash:
@@ -139,7 +163,7 @@ def accumulate(
     misses: bool = False,
     window: str = "MovingStanza",
     model: str = "EndPoint",
-    units_used: Sequence[str] | None = None,
+    units_used: Sequence[str] | DataFrame | None = None,
     mask=None,
     self_mask=None,
     metadata: Sequence[str] | str = (),
@@ -147,7 +171,7 @@ def accumulate(
 ) -> Accumulation:
     """Count connections by line and sum them by unit (or by unit and conversation for trajectories).
 
-    Units outside ``units_used`` stay in the windows of others but get no network.
+    Units outside ``units_used`` (their names, or a DataFrame of them) stay in the windows of others but get no network.
     """
     units, conversation, codes, order_by = list(units), list(conversation), list(codes), list(order_by)
     back, forward = window_size(back), window_size(forward)
@@ -177,10 +201,10 @@ def accumulate(
         lines = base.select(UNIT, CONVERSATION, FIRST, *[col(x) for x in keys], *connections(codes, layout, weight, c, h, t if forward >= 1 else None, gone))
     else:
         raise ValueError(f"unknown window {window!r}")
-    if units_used is not None:
-        lines, base = (x.where(F.col(UNIT).isin(list(units_used))) for x in (lines, base))
+    lines, base = only_units(lines, units_used), only_units(base, units_used)
     counts, by = summed(lines, names, units, conversation, model)
     out = Accumulation(counts, lines, codes, units, conversation, layout, by, {"back": back, "forward": forward, "weight": weight, "window": window, "model": model})
+    out.options = {"units_used": units_used, "misses": misses, "mask": mask, "self_mask": self_mask, "metadata": metadata, "check_rows": check_rows}
     if h is not None and self_connections:
         own = base.select(UNIT, FIRST, *[(h[i] * c[i]).alias(codes[i]) for i in range(len(codes))])
         out.self_counts = sum_by(own, codes, [UNIT])
@@ -207,9 +231,15 @@ def summed(lines: DataFrame, names: Sequence[str], units: Sequence[str], convers
 
 
 def as_trajectory(df: DataFrame, acc: Accumulation, by: Sequence[str], order_by: Sequence[str], model: str = "AccumulatedTrajectory") -> Accumulation:
-    """The same accumulation along the steps of other columns."""
+    """The same accumulation, with all its options, along the steps of other columns."""
     p = acc.parameters
-    return accumulate(df, acc.units, by, acc.codes, order_by, p["back"], p["forward"], p["weight"], acc.layout == "ordered", acc.layout == "self", window=p["window"], model=model)
+    if p["window"] == "tensor":
+        from .tensor import accumulate_tensor
+
+        return accumulate_tensor(df, acc.units, by, acc.codes, order_by, p["tensor"], p["weight"], acc.layout == "ordered", acc.layout == "self", model=model, **acc.options)
+    if p["window"] == "horizons":
+        raise ValueError("networks over flexible horizons have no steps")
+    return accumulate(df, acc.units, by, acc.codes, order_by, p["back"], p["forward"], p["weight"], acc.layout == "ordered", acc.layout == "self", window=p["window"], model=model, **acc.options)
 
 
 def unit_metadata(df: DataFrame, units: Sequence[str], order_by: Sequence[str], columns: Sequence[str] | None = None, constant: bool = True) -> DataFrame:

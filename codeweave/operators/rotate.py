@@ -151,8 +151,15 @@ class Design:
     source: list[frozenset[str]]
 
 
+#: Values of a column of groups: more are no groups, and are refused rather than collected.
+MOST_LEVELS = 10_000
+
+
 def levels(table: DataFrame, column: str) -> list:
-    return [r[0] for r in table.select(col(column)).distinct().orderBy(col(column)).collect()]
+    found = [r[0] for r in table.select(col(column)).distinct().orderBy(col(column)).limit(MOST_LEVELS + 1).collect()]
+    if len(found) > MOST_LEVELS:
+        raise ValueError(f"{column} has more than {MOST_LEVELS} values")
+    return found
 
 
 def is_numeric(table: DataFrame, column: str) -> bool:
@@ -164,7 +171,10 @@ def design(table: DataFrame, terms: Sequence[str], interactions: Sequence[tuple[
     """Numeric columns as they are, others as dummies of their sorted levels but the first, and products of both."""
     made: dict[str, list[str]] = {}
     out, columns, source = table, [], []
-    for term in terms:
+    terms = list(dict.fromkeys(terms))
+    for term in [*terms, *[t for pair in interactions for t in pair if t not in terms]]:
+        if term in made:
+            continue
         own = []
         if is_numeric(table, term):
             own = [f"__x_{term}"]
@@ -174,8 +184,9 @@ def design(table: DataFrame, terms: Sequence[str], interactions: Sequence[tuple[
                 own.append(f"__x_{term}_{k}")
                 out = out.withColumn(own[-1], F.when(col(term) == F.lit(level), 1.0).otherwise(0.0))
         made[term] = own
-        columns += own
-        source += [frozenset([term])] * len(own)
+        if term in terms:
+            columns += own
+            source += [frozenset([term])] * len(own)
     if centered:
         n, total = sums(out, columns)
         for c, t in zip(columns, total):
@@ -279,15 +290,28 @@ def regression_rotation(space: Space, x: str, y: str | None = None, controls: Se
     return orthogonal_svd(space, np.array(axes).T, [f"{t}_reg" for t in [x] + ([y] if y else [])])
 
 
-def regression_rotation_2(space: Space, x: str, y: str | None = None) -> Rotation:
-    """Axes along the coefficients of x on the networks (least norm if they are not unique)."""
+def regression_rotation_2(space: Space, x: str, y: str | None = None, controls: Sequence[str] = (), interactions: Sequence[tuple[str, str]] = ()) -> Rotation:
+    """Axes along the coefficients of x on the networks (least norm if they are not unique), controls and products of them held.
+
+    What controls explain is taken from x and from the networks by their cross products (Frisch and Waugh), so
+    that the coefficients of the networks are those of the whole regression.
+    """
     axes: list[np.ndarray] = []
+    held = design(space.table, list(controls), list(interactions)) if controls or interactions else None
     n, mean = space.mean()
     for target in [x] + ([y] if y else []):
-        made = design(space.table, [target]) if is_numeric(space.table, target) else codes_of(space, target, "ENA_FIRST")
-        _, t = sums(made.table, made.columns)
+        table = held.table if held else space.table
+        made = design(table, [target]) if is_numeric(table, target) else codes_of(Space(table, space.names, space.n, space.gram), target, "ENA_FIRST")
+        _, t = sums(made.table, made.columns[:1])
         gram = space.gram - n * np.outer(mean, mean)
         xv = cross(made.table, space.names, made.columns[:1])[:, 0] - mean * t[0]
+        if held:
+            _, total = sums(made.table, held.columns)
+            cc = cross(made.table, held.columns) - np.outer(total, total) / n
+            cv = cross(made.table, held.columns, space.names) - np.outer(total, mean)
+            ct = cross(made.table, held.columns, made.columns[:1])[:, 0] - total * t[0] / n
+            part = solve(cc, np.hstack([cv, ct[:, None]]))
+            gram, xv = gram - cv.T @ part[:, :-1], xv - cv.T @ part[:, -1]
         for a in axes:
             gram, xv = remove(gram, a), xv - (xv @ a) * a
         b = np.linalg.lstsq(gram, xv, rcond=1e-10)[0]
@@ -325,7 +349,10 @@ def custom(space: Space, matrix: np.ndarray, labels: Sequence[str] | None = None
 
 
 def rotate(space: Space, rotation: str | np.ndarray | Callable[[Space], Rotation] = "svd", **options) -> Rotation:
-    """The rotation of a name, a matrix, a function or a formula (``V ~ x`` or ``x ~ V``)."""
+    """The rotation of a name, a matrix, a function or a formula.
+
+    ``V ~ x + a + x:a`` takes the slopes on its first term, the others held; ``x ~ V + a`` the coefficients of the networks.
+    """
     if callable(rotation):
         return rotation(space, **options)
     if isinstance(rotation, np.ndarray):
@@ -335,7 +362,9 @@ def rotate(space: Space, rotation: str | np.ndarray | Callable[[Space], Rotation
         if target == "V":
             made = design(space.table, terms, products)
             return orthogonal_svd(space, _unit(slopes(space, made)[0][0], terms[0]), [f"{terms[0]}_reg"])
-        return regression_rotation_2(space, target)
+        if "V" not in terms or any("V" in pair for pair in products):
+            raise ValueError("a formula has V on one side, and not in a product")
+        return regression_rotation_2(space, target, None, [t for t in terms if t != "V"], products)
     kinds = {"svd": svd, "means": means_rotation, "generalized": generalized_rotation, "regression": regression_rotation, "regression_2": regression_rotation_2, "hierarchical": hierarchical_rotation}
     if rotation not in kinds:
         raise ValueError(f"unknown rotation {rotation!r}")

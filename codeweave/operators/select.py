@@ -28,25 +28,31 @@ class ConnectionLines:
     conversations: DataFrame
 
 
-def connection_lines(df: DataFrame, units: Sequence[str] | None, units_by: Sequence[str], codes: Sequence[str], conversation: Sequence[str], order_by: Sequence[str], window: float = 4, exclude: Sequence[str] = ()) -> ConnectionLines:
-    """Lines of some units (all if None) that stand behind a connection of codes, within a back window."""
+def connection_lines(df: DataFrame, units: Sequence[str] | DataFrame | None, units_by: Sequence[str], codes: Sequence[str], conversation: Sequence[str], order_by: Sequence[str], window: float = 4, exclude: Sequence[str] = ()) -> ConnectionLines:
+    """Lines of some units (names, a DataFrame of them, or all if None) that stand behind a connection of codes, within a back window."""
     window = window_size(window)
     rows = df.withColumn(UNIT, composite(units_by)).withColumn(CONVERSATION, composite(conversation))
     if exclude:
         rows = rows.where(~F.col(CONVERSATION).isin(list(exclude)))
     rows = rows.withColumn(FIRST, F.struct(*[col(c) for c in order_by]))
+    mine = F.lit(True)
+    if isinstance(units, DataFrame):
+        wanted = units.select(col(units.columns[0]).cast("string").alias("__wanted")).distinct()
+        rows = rows.join(wanted, F.col(UNIT) == F.col("__wanted"), "left").withColumn("__mine", F.col("__wanted").isNotNull()).drop("__wanted")
+        mine = F.col("__mine")
+    elif units is not None:
+        mine = F.col(UNIT).isin(list(units))
     spec = Window.partitionBy(CONVERSATION).orderBy(FIRST)
     frame = spec.rowsBetween(Window.unboundedPreceding if window == INFINITE else -max(0, int(window) - 1), 0)
     any_code, all_codes = F.lit(False), F.lit(True)
     for c in codes:
         any_code = any_code | (col(c).cast("double") > 0)
         all_codes = all_codes & (F.sum(col(c).cast("double")).over(frame) > 0)
-    mine = F.lit(True) if units is None else F.col(UNIT).isin(list(units))
     marked = rows.withColumn("__any", mine & any_code).withColumn("__hit", F.col("__any") & all_codes)
     ahead = spec.rowsBetween(0, Window.unboundedFollowing if window == INFINITE else max(0, int(window) - 1))
     # A line lies in the window of a hit if a hit stands among the next lines; no join is needed.
     marked = marked.withColumn("__in", F.max(F.col("__hit").cast("int")).over(ahead) == 1)
-    clean = lambda d: d.drop("__any", "__hit", "__in", FIRST)
+    clean = lambda d: d.drop("__any", "__hit", "__in", "__mine", FIRST)
     hits = marked.where("__hit")
     return ConnectionLines(clean(hits), clean(marked.where("__any")), clean(marked.where("__any and not __hit")), clean(marked.where("__in")), hits.select(CONVERSATION).distinct())
 

@@ -66,8 +66,12 @@ def cohens_d(points: DataFrame, column: str, one: Column, two: Column) -> float:
     return abs(m1 - m2) / pooled if pooled else math.nan
 
 
+#: Units of a group from which the normal approximation of U is taken.
+EXACT_U = 50
+
+
 def compare_groups(points: DataFrame, labels: Sequence[str], one: Column, two: Column) -> dict[str, dict[str, float]]:
-    """Welch's t, Cohen's d, Mann-Whitney U (normal approximation with ties and continuity), rank-biserial r and medians of two groups."""
+    """Welch's t, Cohen's d, Mann-Whitney U (exact for groups of fewer than ``EXACT_U`` units without ties, else the normal approximation with ties and continuity), rank-biserial r and medians of two groups."""
     out = {}
     rows = points.select(*[col(d) for d in labels], F.when(one, 1).when(two, 2).alias("__g")).where("__g is not null")
     for d in labels:
@@ -84,8 +88,10 @@ def compare_groups(points: DataFrame, labels: Sequence[str], one: Column, two: C
         n = n1 + n2
         spread = math.sqrt(n1 * n2 / 12 * ((n + 1) - ties / (n * (n - 1))))
         z = max(0.0, abs(u - n1 * n2 / 2) - 0.5) / spread if spread else 0.0
+        # Few units without ties have an exact distribution.
+        u_p = D.u_two_sided(u, n1, n2) if n1 < EXACT_U and n2 < EXACT_U and not ties else min(1.0, D.normal_two_sided(z))
         pooled = math.sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n - 2))
-        out[d] = {"n1": n1, "n2": n2, "mean1": m1, "mean2": m2, "sd1": math.sqrt(v1), "sd2": math.sqrt(v2), "median1": q1, "median2": q2, "t": t, "df": df, "p": D.t_two_sided(t, df), "d": abs(m1 - m2) / pooled if pooled else math.nan, "U": u, "U_p": min(1.0, D.normal_two_sided(z)), "r": 2 * u / (n1 * n2) - 1}
+        out[d] = {"n1": n1, "n2": n2, "mean1": m1, "mean2": m2, "sd1": math.sqrt(v1), "sd2": math.sqrt(v2), "median1": q1, "median2": q2, "t": t, "df": df, "p": D.t_two_sided(t, df), "d": abs(m1 - m2) / pooled if pooled else math.nan, "U": u, "U_p": u_p, "r": 2 * u / (n1 * n2) - 1}
     return out
 
 
@@ -130,16 +136,23 @@ def fit_correlation(points: DataFrame, centroids: DataFrame, labels: Sequence[st
     return out
 
 
+#: Units of which all pairs are made (12.5 million).
+MOST_PAIRED = 5_000
+
+
 def _pairs(points: DataFrame, other: DataFrame, labels: Sequence[str], by: Sequence[str], order: str) -> DataFrame:
     both = points.select(*by, order, *[col(d).alias(f"p_{d}") for d in labels]).join(other.select(*by, *[col(d).alias(f"c_{d}") for d in labels]), list(by))
     rows = dense_index(both, order, *by, name="__i").drop(*by, order)
+    n = rows.count()
+    if n > MOST_PAIRED:
+        raise ValueError(f"{n} units have too many pairs to rank: the closed form fit_correlation and distance_correlation need none or a draw of them")
     left = rows.select([col(c).alias(c if c == "__i" else f"a_{c}") for c in rows.columns])
     right = rows.select([col(c).alias("__j" if c == "__i" else f"b_{c}") for c in rows.columns])
     return left.join(right, F.col("__i") < F.col("__j"))
 
 
 def pair_correlations(points: DataFrame, centroids: DataFrame, labels: Sequence[str], by: Sequence[str], order: str) -> dict[str, tuple[float, float]]:
-    """Pearson and Spearman over all pairs of units; ranks need the pairs themselves, so this is for tables of units that fit."""
+    """Pearson and Spearman over all pairs of units; ranks need the pairs themselves, so that more than ``MOST_PAIRED`` units are refused."""
     pairs, out = _pairs(points, centroids, labels, by, order).cache(), {}
     for d in labels:
         diff = pairs.select((col(f"a_p_{d}") - col(f"b_p_{d}")).alias("x"), (col(f"a_c_{d}") - col(f"b_c_{d}")).alias("y"))

@@ -21,7 +21,7 @@ from ..functions.times import seconds_per_unit, time_seconds
 from ..functions.weights import Weight, weight_function
 from ..model import CONVERSATION, FIRST, UNIT, Accumulation
 from ..plans.linalg import col
-from .accumulate import INFINITE, accumulate, composite, prepare, summed, validate
+from .accumulate import INFINITE, accumulate, composite, only_units, prepare, summed, validate
 
 ROLES = ("sender", "receiver", "mode")
 
@@ -91,6 +91,17 @@ def places(rows: DataFrame, tensor: Tensor, time: Column | None) -> DataFrame:
     return rows.withColumn("__at", F.col("__n").cast("double") if time is None else time)
 
 
+def line_time(df: DataFrame, tensor: Tensor, numeric_time: bool) -> Column:
+    """The seconds at which a line stands: its time, or its end."""
+    start = time_seconds(col(tensor.time), numeric_time)
+    if not tensor.time_end:
+        return start
+    kind = dict(df.dtypes)[tensor.time_end]
+    if any(kind.startswith(k) for k in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")):
+        return start + col(tensor.time_end).cast("double")
+    return time_seconds(col(tensor.time_end), False)
+
+
 def accumulate_tensor(
     df: DataFrame,
     units: Sequence[str],
@@ -101,18 +112,29 @@ def accumulate_tensor(
     weight: Weight = "binary",
     ordered: bool = False,
     self_connections: bool = False,
-    units_used: Sequence[str] | None = None,
+    units_used: Sequence[str] | DataFrame | None = None,
     model: str = "EndPoint",
     numeric_time: bool = False,
     check_rows: bool = True,
+    levels: dict[str, Sequence] | None = None,
+    misses: bool = False,
+    mask=None,
+    self_mask=None,
+    metadata: Sequence[str] | str = (),
 ) -> Accumulation:
     """Connections with a tensor: the ground of a line is the weighted sum of the earlier lines within the window of their cell.
 
     In time windows a ground line counts if less than the window has passed; of equal times, lines
-    before the response in the order of the conversation count.
+    before the response in the order of the conversation count.  A line's time is its end if the tensor has a
+    ``time_end``: a numeric one is a duration in seconds after the start, another is read as a time.  ``levels`` are
+    the values that each factor may have, by default those of the cells; any other value is an error.
     """
+    if levels is None:
+        levels = {c: sorted({key[k] for key in tensor.cells}, key=str) for k, (c, _) in enumerate(tensor.factors)}
+    if tensor.cells or any(levels.values()):
+        check_levels(df, tensor, levels)
     if tensor.constant and tensor.default[0] == 1.0:
-        return accumulate(df, units, conversation, codes, order_by, tensor.default[1], 0, weight, ordered, self_connections, units_used=units_used, model=model, check_rows=check_rows)
+        return accumulate(df, units, conversation, codes, order_by, tensor.default[1], 0, weight, ordered, self_connections, units_used=units_used, model=model, check_rows=check_rows, misses=misses, mask=mask, self_mask=self_mask, metadata=metadata)
     validate(df, units, conversation, codes, order_by, check_rows)
     codes = list(codes)
     p, layout = len(codes), "ordered" if ordered else "self" if self_connections else "unordered"
@@ -121,30 +143,40 @@ def accumulate_tensor(
     rows = prepare(df, units, conversation, codes, order_by, [*factors, *extra])
     time = None
     if tensor.time:
-        time = time_seconds(col(tensor.time), numeric_time)
-        if df.where(time_seconds(col(tensor.time), numeric_time).isNull()).first() is not None:
+        time = line_time(df, tensor, numeric_time)
+        if df.where(time.isNull()).first() is not None:
             raise ValueError(f"{tensor.time} has values that cannot be read as times")
     rows = places(rows, tensor, time)
     scale = float(seconds_per_unit(tensor.time_unit) or 1) if tensor.time else 1.0
     ground = grounds(rows, tensor, codes, factors, scale)
     joined = rows.join(ground, [CONVERSATION, "__n"], "left")
     h = [F.coalesce(F.col(f"__h{k}"), F.lit(0.0)) for k in range(p)]
-    from .accumulate import connections
+    from .accumulate import connections, sum_by, unit_metadata
 
     names = L.pair_names(codes, layout)
     own = tensor_own_weight(tensor, factors)
     c = [col(x) for x in codes]
+    gone = L.masked(codes, layout, mask, self_mask)
     if own is None:
-        made = connections(codes, layout, weight, c, h, None, set())
+        made = connections(codes, layout, weight, c, h, None, gone)
     else:
         joined = joined.withColumn("__own", own)
-        made = own_weighted(codes, layout, weight, c, h, F.col("__own"))
+        made = own_weighted(codes, layout, weight, c, h, F.col("__own"), gone)
     keys = [x for x in dict.fromkeys([*units, *conversation]) if x not in codes]
     lines = joined.select(UNIT, CONVERSATION, FIRST, *[col(x) for x in keys], *made)
-    if units_used is not None:
-        lines = lines.where(F.col(UNIT).isin(list(units_used)))
+    lines, joined = only_units(lines, units_used), only_units(joined, units_used)
     counts, by = summed(lines, names, list(units), list(conversation), model)
-    return Accumulation(counts, lines, codes, list(units), list(conversation), layout, by, {"tensor": tensor, "weight": weight, "window": "tensor", "model": model})
+    out = Accumulation(counts, lines, codes, list(units), list(conversation), layout, by, {"tensor": tensor, "weight": weight, "window": "tensor", "model": model})
+    out.options = {"units_used": units_used, "numeric_time": numeric_time, "check_rows": check_rows, "levels": levels, "misses": misses, "mask": mask, "self_mask": self_mask, "metadata": metadata}
+    if self_connections:
+        out.self_counts = sum_by(joined.select(UNIT, FIRST, *[(h[i] * c[i]).alias(codes[i]) for i in range(p)]), codes, [UNIT])
+    if misses:
+        pairs = L.pair_names(codes, "ordered")
+        absent = [(h[i] * F.when(c[j] == 0, 1.0).otherwise(0.0)).alias(pairs[n]) for n, (i, j) in enumerate(L.index_pairs(p, "ordered"))]
+        out.misses = sum_by(joined.select(UNIT, FIRST, *absent), pairs, [UNIT])
+    if metadata:
+        out.metadata = unit_metadata(df, units, order_by, None if metadata == "constant" else list(metadata), constant=metadata == "constant")
+    return out
 
 
 def tensor_own_weight(tensor: Tensor, factors: Sequence[str]) -> Column | None:
@@ -160,10 +192,13 @@ def tensor_own_weight(tensor: Tensor, factors: Sequence[str]) -> Column | None:
     return out
 
 
-def own_weighted(codes: Sequence[str], layout: str, weight: Weight, c: Sequence[Column], h: Sequence[Column], own: Column) -> list[Column]:
+def own_weighted(codes: Sequence[str], layout: str, weight: Weight, c: Sequence[Column], h: Sequence[Column], own: Column, gone: set[int] = frozenset()) -> list[Column]:
     f = weight_function(weight, layout == "ordered")
     out = []
-    for (i, j), name in zip(L.index_pairs(len(codes), layout), L.pair_names(codes, layout)):
+    for n, ((i, j), name) in enumerate(zip(L.index_pairs(len(codes), layout), L.pair_names(codes, layout))):
+        if n in gone:
+            out.append(F.lit(0.0).alias(name))
+            continue
         if layout == "ordered":
             value = h[i] * c[j] + 0.5 * own * c[i] * c[j] if i != j else h[i] * c[j]
         elif i == j:
@@ -205,7 +240,7 @@ def horizon_lines(df: DataFrame, units: Sequence[str], by: str, rules: dict[str,
         if not columns:
             raise ValueError(f"rule {value!r} has no columns")
     split = list(dict.fromkeys(c for columns in rules.values() for c in columns))
-    rows = df.withColumn("__own", composite(units)).withColumn(CONVERSATION, F.concat_ws("\u0000", *[col(c).cast("string") for c in split]))
+    rows = df.withColumn("__own", composite(units)).withColumn(CONVERSATION, composite(split))
     parts = []
     for value, columns in rules.items():
         lines = rows.where(col(by) == F.lit(value))

@@ -65,12 +65,13 @@ def cross(df: DataFrame, left: Sequence[str], right: Sequence[str] | None = None
     return out
 
 
-def centered_gram(df: DataFrame, columns: Sequence[str], center: np.ndarray | None = None, weight=None) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, means and (V - center)'(V - center); the center is the mean by default."""
-    n, total = sums(df, columns)
+def centered_gram(df: DataFrame, columns: Sequence[str], center: np.ndarray | None = None) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means and (V - center)'(V - center), in one pass; the center is the mean by default."""
+    one = "__one"
+    both = cross(df.withColumn(one, F.lit(1.0)), [*columns, one])
+    n, total, gram = int(round(both[-1, -1])), both[-1, :-1], both[:-1, :-1]
     mean = total / max(n, 1)
     at = mean if center is None else center
-    gram = cross(df, columns)
     return n, mean, gram - np.outer(total, at) - np.outer(at, total) + n * np.outer(at, at)
 
 

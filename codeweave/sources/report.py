@@ -46,9 +46,12 @@ def write_report(model: Model, path: str) -> None:
         f.write(methods_report(model))
 
 
-def export_json(model: Model, path: str, most: int = 10_000) -> None:
-    """Nodes, and up to ``most`` points (the first units by name), for a viewer."""
-    points = [{"unit": r[UNIT], **{d: r[d] for d in model.dimensions}} for r in model.points.orderBy(UNIT).limit(most).collect()]
+def export_json(model: Model, path: str) -> None:
+    """Nodes and all points, for a viewer; points are written as they stream to the driver, a partition at a time."""
     nodes = [{"code": c, **dict(zip(model.dimensions, map(float, model.rotation.nodes[k])))} for k, c in enumerate(model.rotation.codes)]
+    head = {"dimensions": model.dimensions, "variance": [float(v) for v in model.variance], "nodes": nodes}
     with open(path, "w") as f:
-        json.dump({"dimensions": model.dimensions, "variance": [float(v) for v in model.variance], "nodes": nodes, "points": points}, f)
+        f.write(json.dumps(head)[:-1] + ', "points": [')
+        for k, r in enumerate(model.points.orderBy(UNIT).toLocalIterator()):
+            f.write((", " if k else "") + json.dumps({"unit": r[UNIT], **{d: r[d] for d in model.dimensions}}))
+        f.write("]}")
