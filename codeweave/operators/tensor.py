@@ -4,8 +4,8 @@ A tensor gives each combination of factor values a weight and a window.  Sender
 the ground line, receiver factors on the response line, mode factors on the ground line.
 A constant tensor is a plain moving window and is planned as one (a Window operator); any other is a join of
 each response with the ground lines of its conversation.  That join has a band on the lines' places
-rather than a bare range: ground lines are bucketed by the widest window, so that it is an equi-join on
-(conversation, bucket) and never pairs lines that lie further apart than two buckets.
+rather than a bare range: ground lines are bucketed by the widest window and responses look into the buckets that
+their window reaches (two where times follow the order), so that it is an equi-join on (conversation, bucket).
 """
 
 from __future__ import annotations
@@ -87,8 +87,11 @@ def _looked_up(tensor: Tensor, which: int) -> Column:
 
 def places(rows: DataFrame, tensor: Tensor, time: Column | None) -> DataFrame:
     """Lines numbered in their conversation, and their places in lines or seconds."""
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(CONVERSATION).orderBy(FIRST)))
-    return rows.withColumn("__at", F.col("__n").cast("double") if time is None else time)
+    order = Window.partitionBy(CONVERSATION).orderBy(FIRST)
+    rows = rows.withColumn("__n", F.row_number().over(order))
+    rows = rows.withColumn("__at", F.col("__n").cast("double") if time is None else time)
+    # Times need not follow the order: an earlier line may stand as late as the latest so far.
+    return rows.withColumn("__top", F.col("__at") if time is None else F.max("__at").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def line_time(df: DataFrame, tensor: Tensor, numeric_time: bool) -> Column:
@@ -213,14 +216,13 @@ def grounds(rows: DataFrame, tensor: Tensor, codes: Sequence[str], factors: Sequ
     """``__h0`` ...: the weighted sums of each response's ground lines."""
     widest = tensor.widest * scale
     g = rows.select(CONVERSATION, F.col("__n").alias("g_n"), F.col("__at").alias("g_at"), *[col(c).alias("g_" + c) for c in factors], *[col(c).alias(f"g__{k}") for k, c in enumerate(codes)])
-    r = rows.select(CONVERSATION, F.col("__n").alias("r_n"), F.col("__at").alias("r_at"), *[col(c).alias("r_" + c) for c in factors])
+    r = rows.select(CONVERSATION, F.col("__n").alias("r_n"), F.col("__at").alias("r_at"), F.col("__top").alias("r_top"), *[col(c).alias("r_" + c) for c in factors])
     near = (F.col("g_n") < F.col("r_n")) & (F.col("r_at") - F.col("g_at") < _looked_up(tensor, 1) * scale)
     if widest == INFINITE or widest <= 0:
         pairs = g.join(r, CONVERSATION).where(near)
     else:
-        bucket = F.floor(F.col("g_at") / widest)
-        g = g.withColumn("__b", F.explode(F.array(bucket, bucket + 1)))
-        r = r.withColumn("__b", F.floor(F.col("r_at") / widest))
+        g = g.withColumn("__b", F.floor(F.col("g_at") / widest))
+        r = r.withColumn("__b", F.explode(F.sequence(F.floor(F.col("r_at") / widest) - 1, F.floor(F.col("r_top") / widest))))
         pairs = g.join(r, [CONVERSATION, "__b"]).where(near)
     w = _looked_up(tensor, 0)
     sums = pairs.groupBy(CONVERSATION, F.col("r_n").alias("__n")).agg(*[F.sum(w * F.col(f"g__{k}")).alias(f"__h{k}") for k in range(len(codes))])

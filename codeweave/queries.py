@@ -173,8 +173,7 @@ def single_line_counts(spark, sf_dir):
 
 @query(counts_sql(where="user_id % 3 = 0"))
 def units_used_counts(spark, sf_dir):
-    ids = [str(r[0]) for r in lines(spark, sf_dir).select("user_id").where("user_id % 3 = 0").distinct().collect()]
-    a = acc(spark, sf_dir, units_used=ids)
+    a = acc(spark, sf_dir, units_used=lines(spark, sf_dir).select("user_id").where("user_id % 3 = 0").distinct())
     return user(a.counts, a.names)
 
 
@@ -264,6 +263,44 @@ def tensor_sender_counts(spark, sf_dir):
     return user(a.counts, a.names)
 
 
+RECEIVER = T.Tensor([("half", "receiver")], {("even",): (1.0, 2), ("odd",): (1.0, 5)}, (1.0, 4))
+
+
+@query(f"WITH {pairs_sql('r.n - g.n < CASE WHEN r.half = ' + chr(39) + 'even' + chr(39) + ' THEN 2 ELSE 5 END')}, {lines_sql()} {unit_sql()}")
+def tensor_receiver_counts(spark, sf_dir):
+    a = T.accumulate_tensor(lines(spark, sf_dir), ["user_id"], ["day"], CODES, ["ts", "event_id"], RECEIVER, check_rows=False)
+    return user(a.counts, a.names)
+
+
+MODE = T.Tensor([("half", "mode"), ("half", "receiver")], {("even", "even"): (1.0, 5), ("even", "odd"): (1.0, 3), ("odd", "even"): (1.0, 2), ("odd", "odd"): (1.0, 6)}, (1.0, 4))
+
+
+@query(f"WITH {pairs_sql('r.n - g.n < CASE g.half || r.half ' + ' '.join(f'WHEN {chr(39)}{a}{b}{chr(39)} THEN {w}' for a, b, w in (('even', 'even', 5), ('even', 'odd', 3), ('odd', 'even', 2), ('odd', 'odd', 6))) + ' END')}, {lines_sql()} {unit_sql()}")
+def tensor_mode_counts(spark, sf_dir):
+    a = T.accumulate_tensor(lines(spark, sf_dir), ["user_id"], ["day"], CODES, ["ts", "event_id"], MODE, check_rows=False)
+    return user(a.counts, a.names)
+
+
+@query(f"WITH {pairs_sql('(r.us / 1e6 + r.user_id % 7 * 60) - (g.us / 1e6 + g.user_id % 7 * 60) < 600')}, {lines_sql()} {unit_sql()}")
+def time_window_end_counts(spark, sf_dir):
+    """Lines stand at their ends: a numeric end is a duration after the start."""
+    df = lines(spark, sf_dir).withColumn("sec", F.col("us") / 1e6).withColumn("lasts", F.col("user_id") % 7 * 60.0)
+    t = T.Tensor(default=(1.0, 10), time="sec", time_unit="mins", time_end="lasts")
+    a = T.accumulate_tensor(df, ["user_id"], ["day"], CODES, ["ts", "event_id"], t, numeric_time=True, check_rows=False)
+    return user(a.counts, a.names)
+
+
+COLLIDING = ("CASE WHEN user_id % 2 = 0 THEN 'a::b' ELSE 'a' END", "CASE WHEN user_id % 2 = 0 THEN 'c' ELSE 'b::c' END")
+
+
+@query(f"WITH {EVENTS}, kk AS (SELECT *, {COLLIDING[0]} AS k1, {COLLIDING[1]} AS k2 FROM ev), {windows_sql(source='kk', part='k1, k2')}, {lines_sql()} {unit_sql()}")
+def colliding_keys_counts(spark, sf_dir):
+    """Conversations whose key columns join into one plain key stay two."""
+    df = lines(spark, sf_dir).withColumn("k1", F.expr(COLLIDING[0])).withColumn("k2", F.expr(COLLIDING[1]))
+    a = A.accumulate(df, ["user_id"], ["k1", "k2"], CODES, ["ts", "event_id"], back=4, check_rows=False)
+    return user(a.counts, a.names)
+
+
 @query(f"WITH {pairs_sql('r.us - g.us < 600000000')}, {lines_sql()} {unit_sql()}")
 def time_window_counts(spark, sf_dir):
     df = lines(spark, sf_dir).withColumn("sec", F.col("us") / 1e6)
@@ -283,6 +320,17 @@ def flexible_horizon_counts(spark, sf_dir):
     return user(a.counts, a.names)
 
 
+def two_rules_sql() -> str:
+    members = "hd AS (SELECT DISTINCT user_id AS unit, day FROM ev), hu AS (SELECT DISTINCT user_id AS unit, user_id FROM ev), ctx AS (SELECT ev.*, hd.unit FROM ev JOIN hd USING (day) WHERE half = 'even' UNION ALL SELECT ev.*, hu.unit FROM ev JOIN hu USING (user_id) WHERE half = 'odd')"
+    return f"WITH {EVENTS}, {members}, {windows_sql(source='ctx', part='unit, day, user_id')}, own AS (SELECT * FROM w WHERE unit = user_id), {lines_sql().replace('FROM w)', 'FROM own)')} {unit_sql()}"
+
+
+@query(two_rules_sql())
+def two_horizon_rules_counts(spark, sf_dir):
+    a = T.accumulate_horizons(lines(spark, sf_dir), ["user_id"], CODES, ["ts", "event_id"], "half", {"even": ["day"], "odd": ["user_id"]}, back=4)
+    return user(a.counts, a.names)
+
+
 # ------------------------------------------------------ normalising and projecting
 def weights(spark, sf_dir) -> tuple[Accumulation, DataFrame]:
     a = acc(spark, sf_dir)
@@ -472,7 +520,7 @@ HITS = f"{EVENTS}, k AS (SELECT *, {_join(f'SUM({c}) OVER (PARTITION BY day ORDE
 
 def _connection(spark, sf_dir) -> X.ConnectionLines:
     df = lines(spark, sf_dir)
-    units = [str(r[0]) for r in df.where("user_id % 2 = 0").select("user_id").distinct().collect()]
+    units = df.where("user_id % 2 = 0").select("user_id").distinct()
     return X.connection_lines(df, units, ["user_id"], ["click", "error"], ["day"], ["ts", "event_id"], 4)
 
 
@@ -514,48 +562,138 @@ def model(spark, sf_dir, **options) -> M.Model:
 
 
 def _points(m) -> DataFrame:
-    return m.points.select(F.col(UNIT).cast("long").alias("user_id"), *[(F.round(col(d), 8) + 0.0).alias(d.lower()) for d in m.dimensions])
+    return m.points.select(F.col(UNIT).cast("long").alias("user_id"), *[(F.round(col(d), 6) + 0.0).alias(d.lower()) for d in m.dimensions])
 
 
-@query()
+# SQL for models.  A matrix is a list of rows; leading axes come from squaring a Gram matrix 16 times (its power 65,536), inverses
+# from elimination, so that the SQL shares no step with the decompositions of the library.
+ROW = "[" + ", ".join(f"{a}__{b}" for a, b in PAIRS) + "]"
+GRAM = "gm AS (SELECT [" + ", ".join("[" + ", ".join(f"SUM({a}__{b} * {x}__{y})" for x, y in PAIRS) + "]" for a, b in PAIRS) + "] AS g FROM c)"
+COVARIANCE = "gc AS (SELECT [" + ", ".join("[" + ", ".join(f"COUNT(*) * COVAR_POP({a}__{b}, {x}__{y})" for x, y in PAIRS) + "]" for a, b in PAIRS) + "] AS g FROM c)"
+
+
+def leading_sql(name: str, matrix: str, n: int = 10) -> str:
+    """CTE ``name`` with ``v``, the leading unit axis of a symmetric matrix ``g``, its largest loading positive."""
+    return (
+        f"{name}_i(k, m) AS (SELECT 0, g FROM {matrix} UNION ALL SELECT k + 1, list_transform(z, lambda r: list_transform(z, lambda q: list_dot_product(r, q))) FROM "
+        f"(SELECT k, list_transform(m, lambda r: list_transform(r, lambda x: x / t)) AS z FROM (SELECT k, m, list_sum(list_transform(range(1, {n + 1}), lambda i: m[i][i])) AS t FROM {name}_i WHERE k < 16))), "
+        f"{name}_r AS (SELECT m[list_position(d, list_max(d))] AS r, sign(list_max(d)) AS s FROM (SELECT m, list_transform(range(1, {n + 1}), lambda i: m[i][i]) AS d FROM {name}_i WHERE k = 16)), "
+        f"{name} AS (SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS v FROM {name}_r)"
+    )
+
+
+def without_sql(name: str, matrix: str, axis: str, n: int = 10) -> str:
+    """CTE ``name`` with the matrix of data without their component along a unit axis."""
+    p = f"list_transform(range(1, {n + 1}), lambda i: list_transform(range(1, {n + 1}), lambda j: (CASE WHEN i = j THEN 1.0 ELSE 0.0 END) - v[i] * v[j]))"
+    return f"{name} AS (SELECT list_transform(p, lambda a: list_transform(p, lambda b: list_dot_product(a, list_transform(g, lambda r: list_dot_product(r, b))))) AS g FROM (SELECT g, {p} AS p FROM {matrix}, {axis}))"
+
+
+def inverse_sql(name: str, matrix: str, n: int) -> str:
+    """CTE ``name`` with ``y``, the inverse of a symmetric positive matrix ``g``, by elimination beside the unit matrix."""
+    wide = f"list_transform(range(1, {n + 1}), lambda i: list_concat(g[i], list_transform(range(1, {n + 1}), lambda j: CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)))"
+    step = f"list_transform(range(1, {n + 1}), lambda i: list_transform(range(1, {2 * n + 1}), lambda j: CASE WHEN i = k THEN m[k][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END))"
+    return f"{name}_i(k, m) AS (SELECT 1, {wide} FROM {matrix} UNION ALL SELECT k + 1, {step} FROM {name}_i WHERE k <= {n}), {name} AS (SELECT list_transform(m, lambda r: r[{n + 1}:{2 * n}]) AS y FROM {name}_i WHERE k = {n + 1})"
+
+
+def unit_sql_axis(name: str, source: str, column: str) -> str:
+    return f"{name} AS (SELECT list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS v FROM (SELECT {column} AS w FROM {source}))"
+
+
+def points_sql(ctes: str, one: str, two: str, names: tuple[str, str], source: str = "c", row: str = ROW) -> str:
+    return f"WITH RECURSIVE {ctes} SELECT user_id, ROUND(list_dot_product({row}, p.v), 6) + 0.0 AS {names[0]}, ROUND(list_dot_product({row}, q.v), 6) + 0.0 AS {names[1]} FROM {source}, {one} p, {two} q"
+
+
+SVD = f"{CENTERED}, {GRAM}, {leading_sql('v1', 'gm')}, {without_sql('g2', 'gm', 'v1')}, {leading_sql('v2', 'g2')}"
+UNITVALUE = "uv AS (SELECT user_id, arg_min(value, (ts, event_id)) AS x FROM events GROUP BY user_id)"
+PLACED = f"t AS (SELECT c.user_id, list_dot_product({ROW}, p.v) AS x, list_dot_product({ROW}, q.v) AS y FROM c, v1 p, v2 q)"
+WROW = "[" + ", ".join(f"w_{c}" for c in CODES) + "]"
+# Node weights, and the nodes that solve their normal equations, by code.
+LAID = (
+    f"nw0 AS (SELECT user_id, norm, {_join(f'{NODEW[c]} AS w_{c}' for c in CODES)} FROM s), nw AS (SELECT user_id, norm, {_join(f'w_{c} / GREATEST({NODESUM}, 0.0001) AS w_{c}' for c in CODES)} FROM nw0), "
+    "ww AS (SELECT [" + ", ".join("[" + ", ".join(f"SUM(w_{a} * w_{b})" for b in CODES) + "]" for a in CODES) + f"] AS g, [{', '.join(f'SUM(w_{a} * x)' for a in CODES)}] AS tx, [{', '.join(f'SUM(w_{a} * y)' for a in CODES)}] AS ty FROM nw JOIN t USING (user_id) WHERE norm > 0), "
+    f"{inverse_sql('wi', 'ww', 5)}, nx AS (SELECT list_transform(y, lambda r: list_dot_product(r, tx)) AS nx, list_transform(y, lambda r: list_dot_product(r, ty)) AS ny FROM wi, ww), "
+    "nodes AS (SELECT UNNEST(range(1, 6)) AS i, UNNEST([" + ", ".join(f"'{c}'" for c in CODES) + "]) AS code, UNNEST(nx) AS x, UNNEST(ny) AS y FROM nx)"
+)
+
+
+def _nodes(spark, m) -> DataFrame:
+    rows = m.nodes_table(spark)
+    return rows.select("code", *[(F.round(col(d), 6) + 0.0).alias(d.lower()) for d in m.dimensions])
+
+
+@query(points_sql(SVD, "v1", "v2", ("svd1", "svd2")))
 def svd_points(spark, sf_dir):
     return _points(model(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {SVD}, {PLACED}, {LAID} SELECT code, ROUND(x, 6) + 0.0 AS svd1, ROUND(y, 6) + 0.0 AS svd2 FROM nodes")
 def svd_nodes(spark, sf_dir):
-    return model(spark, sf_dir).nodes_table(spark)
+    return _nodes(spark, model(spark, sf_dir))
 
 
-@query()
+@query(f"WITH RECURSIVE {SVD}, {PLACED}, {LAID} SELECT user_id, ROUND(list_dot_product({WROW}, nx), 6) + 0.0 AS svd1, ROUND(list_dot_product({WROW}, ny), 6) + 0.0 AS svd2 FROM nw, nx")
 def svd_centroids(spark, sf_dir):
     m = model(spark, sf_dir)
-    return m.centroids.select(F.col(UNIT).cast("long").alias("user_id"), *[F.round(col(d), 8).alias(d.lower()) for d in m.dimensions])
+    return m.centroids.select(F.col(UNIT).cast("long").alias("user_id"), *[(F.round(col(d), 6) + 0.0).alias(d.lower()) for d in m.dimensions])
 
 
-@query()
+GMR = (
+    f"{CENTERED}, {UNITVALUE}, fh AS (SELECT arg_min(CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END, (ts, event_id)) AS h FROM events), "
+    f"sl AS (SELECT [{', '.join(f'regr_slope({a}__{b}, CASE WHEN half = h THEN 0.0 ELSE 1.0 END)' for a, b in PAIRS)}] AS a, [{', '.join(f'regr_slope({a}__{b}, x)' for a, b in PAIRS)}] AS b FROM c JOIN uv USING (user_id), fh), "
+    f"{unit_sql_axis('v1', 'sl', 'a')}, s2 AS (SELECT list_transform(range(1, 11), lambda i: b[i] - v[i] * list_dot_product(b, v)) AS b FROM sl, v1), {unit_sql_axis('v2', 's2', 'b')}"
+)
+
+
+@query(points_sql(GMR, "v1", "v2", ("gmr1", "gmr2")))
 def gmr_points(spark, sf_dir):
     return _points(model(spark, sf_dir, rotation="generalized", rotation_options={"x": "half", "y": "value"}))
 
 
-@query()
+def axis_then_svd(first: str, matrix: str = GRAM, name: str = "gm") -> str:
+    """A first axis ``v1`` and the leading axis ``v2`` of the rest."""
+    return f"{CENTERED}, {matrix}, {first}, {without_sql('g2', name, 'v1')}, {leading_sql('v2', 'g2')}"
+
+
+@query(points_sql(axis_then_svd(f"{UNITVALUE}, sl AS (SELECT [{', '.join(f'regr_slope({a}__{b}, x)' for a, b in PAIRS)}] AS b FROM c JOIN uv USING (user_id)), {unit_sql_axis('v1', 'sl', 'b')}"), "v1", "v2", ("value_reg", "svd2")))
 def regression_points(spark, sf_dir):
     return _points(model(spark, sf_dir, rotation="regression", rotation_options={"x": "value"}))
 
 
-@query()
+def on_networks_sql(x: str) -> str:
+    """The axis of the coefficients of x on the networks, both without what ``z`` (odd users) explains if x is ``xz``."""
+    z = "CASE WHEN half = 'odd' THEN 1.0 ELSE 0.0 END"
+    held = (lambda v: f"COVAR_POP({v}, {{0}}) - COVAR_POP({v}, {z}) * COVAR_POP({{0}}, {z}) / VAR_POP({z})") if x == "xz" else (lambda v: f"COVAR_POP({v}, {{0}})")
+    part = lambda u, v: held(u).format(v)
+    matrix = "[" + ", ".join("[" + ", ".join(part(f"{a}__{b}", f"{c}__{d}") for c, d in PAIRS) + "]" for a, b in PAIRS) + "]"
+    right = "[" + ", ".join(part(f"{a}__{b}", "x") for a, b in PAIRS) + "]"
+    return f"{UNITVALUE}, xg AS (SELECT {matrix} AS g, {right} AS r FROM c JOIN uv USING (user_id)), {inverse_sql('xi', 'xg', 10)}, xb AS (SELECT list_transform(y, lambda q: list_dot_product(q, r)) AS b FROM xi, xg), {unit_sql_axis('v1', 'xb', 'b')}"
+
+
+@query(points_sql(axis_then_svd(on_networks_sql("x")), "v1", "v2", ("value_reg", "svd2")))
 def regression_2_points(spark, sf_dir):
     return _points(model(spark, sf_dir, rotation="regression_2", rotation_options={"x": "value"}))
 
 
-@query()
+@query(points_sql(axis_then_svd(on_networks_sql("xz")), "v1", "v2", ("value_reg", "svd2")))
+def formula_with_control_points(spark, sf_dir):
+    return _points(model(spark, sf_dir, rotation="value ~ V + half"))
+
+
+Z_ = "CASE WHEN half = 'odd' THEN 1.0 ELSE 0.0 END"
+
+
+@query(points_sql(axis_then_svd(f"{UNITVALUE}, sl AS (SELECT [{', '.join(f'VAR_POP({Z_}) * COVAR_POP({a}__{b}, x) - COVAR_POP(x, {Z_}) * COVAR_POP({a}__{b}, {Z_})' for a, b in PAIRS)}] AS b FROM c JOIN uv USING (user_id)), {unit_sql_axis('v1', 'sl', 'b')}"), "v1", "v2", ("value_h", "svd2")))
 def hierarchical_points(spark, sf_dir):
     return _points(model(spark, sf_dir, rotation="hierarchical", rotation_options={"x": "value", "controls": ["half"]}))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {SVD}, {PLACED}, {LAID}, o AS (SELECT *, ROW_NUMBER() OVER (ORDER BY y < 0, CASE WHEN y < 0 THEN x ELSE -x END, i) - 1 AS p, x * x + y * y AS z FROM nodes), "
+    "l AS (SELECT p AS lp, x AS lx, y AS ly FROM o ORDER BY z DESC, i LIMIT 1), k AS (SELECT code, lx, ly, 2 * pi() * ((p - lp + 5) % 5) / 5 AS turn FROM o, l) "
+    "SELECT code, ROUND(lx * cos(turn) - ly * sin(turn), 6) + 0.0 AS svd1, ROUND(lx * sin(turn) + ly * cos(turn), 6) + 0.0 AS svd2 FROM k"
+)
 def unit_circle_nodes(spark, sf_dir):
-    return M.move_nodes(model(spark, sf_dir)).nodes_table(spark)
+    return _nodes(spark, M.move_nodes(model(spark, sf_dir)))
 
 
 @query()
@@ -565,20 +703,31 @@ def group_comparison(spark, sf_dir):
     return spark.createDataFrame([(d, k, float(v)) for d, r in found.items() for k, v in r.items()], "dimension string, statistic string, value double")
 
 
-@query()
+# The 97.5 % quantile of t as a series in 1 / df about that of the normal distribution.
+NORMAL = 1.959963984540054
+QUANTILE = " + ".join([f"{NORMAL}"] + [f"{value!r} / POWER(df, {k})" for k, value in enumerate(((NORMAL**3 + NORMAL) / 4, (5 * NORMAL**5 + 16 * NORMAL**3 + 3 * NORMAL) / 96, (3 * NORMAL**7 + 19 * NORMAL**5 + 17 * NORMAL**3 - 15 * NORMAL) / 384, (79 * NORMAL**9 + 776 * NORMAL**7 + 1482 * NORMAL**5 - 1920 * NORMAL**3 - 945 * NORMAL) / 92160), 1)])
+
+
+@query(
+    f"WITH RECURSIVE {SVD}, {PLACED}, m AS (SELECT 'SVD1' AS name, AVG(x) AS a, STDDEV_SAMP(x) / sqrt(COUNT(*)) AS e, COUNT(*) - 1 AS df FROM t UNION ALL SELECT 'SVD2', AVG(y), STDDEV_SAMP(y) / sqrt(COUNT(*)), COUNT(*) - 1 FROM t) "
+    f"SELECT name, ROUND(a - e * ({QUANTILE}), 6) + 0.0 AS low, ROUND(a + e * ({QUANTILE}), 6) + 0.0 AS high FROM m"
+)
 def mean_intervals(spark, sf_dir):
     m = model(spark, sf_dir)
-    return _named(spark, S.mean_intervals(m.points, m.dimensions), ["low", "high"])
+    return _named(spark, S.mean_intervals(m.points, m.dimensions), ["low", "high"], 6)
 
 
-@query()
+@query(f"WITH {WEIGHTS}, e AS (" + " UNION ALL ".join(f"SELECT '{a}' AS code_from, '{b}' AS code_to, AVG({a}__{b}) AS w FROM s" for a, b in PAIRS) + ") SELECT code_from, code_to, ROUND(w, 9) + 0.0 AS weight, ROUND(w / (SELECT MAX(w) FROM e), 9) + 0.0 AS width FROM e WHERE w <> 0")
 def network_edges(spark, sf_dir):
     m = model(spark, sf_dir)
     edges, _ = P.network(m, P.mean_network(m))
-    return spark.createDataFrame([(e["from"], e["to"], e["weight"], e["width"]) for e in edges], "code_from string, code_to string, weight double, width double")
+    return spark.createDataFrame([(e["from"], e["to"], round(e["weight"], 9) + 0.0, round(e["width"], 9) + 0.0) for e in edges], "code_from string, code_to string, weight double, width double")
 
 
-@query()
+WIDER = f"o AS (WITH {WEIGHTS.replace(windows_sql(), windows_sql('5 PRECEDING'))} SELECT * FROM s)"
+
+
+@query(points_sql(f"{SVD}, {WIDER}, oc AS (SELECT o.user_id, {_join(f'CASE WHEN norm > 0 THEN o.{a}__{b} - m_{a}__{b} ELSE 0 END AS {a}__{b}' for a, b in PAIRS)} FROM o, mu)", "v1", "v2", ("svd1", "svd2"), "oc"))
 def projected_into_other(spark, sf_dir):
     one = model(spark, sf_dir)
     other = M.fit(acc(spark, sf_dir, back=6), rotation_set=one.rotation)
@@ -635,7 +784,6 @@ def trajectory_ends(spark, sf_dir):
     return P.trajectory_ends(steps).select(F.col("unit").cast("long").alias("user_id"), "step", "x", "y")
 
 
-UNITVALUE = "uv AS (SELECT user_id, arg_min(value, (ts, event_id)) AS x FROM events GROUP BY user_id)"
 SLOPES = [f"regr_slope({a}__{b}, x) AS b_{a}__{b}" for a, b in PAIRS]
 SNORM = "sqrt(" + " + ".join(f"b_{a}__{b}*b_{a}__{b}" for a, b in PAIRS) + ")"
 
@@ -691,7 +839,10 @@ def axis_range(spark, sf_dir):
     return spark.createDataFrame([(round(P.axis_range(w, ["click & error", "click & view"]), 9) + 0.0,)], "range double")
 
 
-@query()
+MEANS = axis_then_svd(f"sl AS (SELECT [{', '.join(d.rsplit(' AS ', 1)[0] for d in DIFF)}] AS b FROM c), {unit_sql_axis('v1', 'sl', 'b')}", COVARIANCE, "gc")
+
+
+@query(points_sql(MEANS, "v1", "v2", ("mr1", "svd2")))
 def whole_analysis(spark, sf_dir):
     from .analysis import analyse
 
