@@ -24,16 +24,39 @@ def table(df, names):
     return {r["ENA_UNIT"]: [r[n] for n in names] for r in df.collect()}
 
 
+# Rows (user, group, codes A, B, C, place), and rows (name, day, act, codes c1, c2, c3, place).
+SIX = [
+    ("User1", "g", 3, 0, 0, 0),
+    ("User2", "g", 0, 1, 2, 1),
+    ("User3", "g", 1, 0, 0, 2),
+    ("User1", "g", 0, 0, 4, 3),
+    ("User2", "g", 0, 2, 0, 4),
+    ("User3", "g", 3, 0, 1, 5),
+]
+TWELVE = [
+    ("J", 1, 1, 1, 1, 0, 0),
+    ("Z", 1, 1, 1, 1, 0, 1),
+    ("J", 1, 1, 1, 1, 1, 2),
+    ("Z", 1, 1, 1, 0, 0, 3),
+    ("J", 1, 2, 1, 0, 1, 4),
+    ("Z", 1, 2, 0, 1, 0, 5),
+    ("J", 2, 2, 0, 0, 1, 6),
+    ("Z", 2, 2, 1, 1, 0, 7),
+    ("J", 2, 3, 1, 0, 0, 8),
+    ("Z", 2, 3, 0, 1, 0, 9),
+    ("J", 2, 3, 0, 0, 1, 10),
+    ("Z", 2, 3, 1, 0, 0, 11),
+]
+
+
 @pytest.fixture(scope="module")
 def six(spark):
-    rows = list(zip("123123", [3, 0, 1, 0, 0, 3], [0, 1, 0, 0, 2, 0], [0, 2, 0, 4, 0, 1], range(6)))
-    return spark.createDataFrame([(f"User{u}", "g", float(a), float(b), float(c), s) for u, a, b, c, s in rows], "user string, grp string, A double, B double, C double, seq long")
+    return spark.createDataFrame([(u, g, float(a), float(b), float(c), n) for u, g, a, b, c, n in SIX], "user string, grp string, A double, B double, C double, seq long")
 
 
 @pytest.fixture(scope="module")
 def twelve(spark):
-    c1, c2, c3 = [1, 1, 1, 1, 1, 0, 0, 1, 1, 0, 0, 1], [1, 1, 1, 0, 0, 1, 0, 1, 0, 1, 0, 0], [0, 0, 1, 0, 1, 0, 1, 0, 0, 0, 1, 0]
-    return spark.createDataFrame([("JZ"[k % 2], 1 + k // 6, 1 + k // 4, c1[k], c2[k], c3[k], k) for k in range(12)], "name string, day int, act int, c1 int, c2 int, c3 int, seq long")
+    return spark.createDataFrame(TWELVE, "name string, day int, act int, c1 int, c2 int, c3 int, seq long")
 
 
 def test_window_rows(six):
@@ -191,3 +214,42 @@ def test_stream_is_the_batch(spark, tmp_path, twelve):
     acc = A.accumulate(twelve, ["name"], ["day"], ["c1", "c2", "c3"], ["seq"], back=3)
     got = {r.seq: [r[n] for n in acc.names] for r in spark.sql("select * from stream_lines").collect()}
     assert got == {r.ENA_FIRST.o0: [r[n] for n in acc.names] for r in acc.lines.collect()}
+
+
+# ---------------------------------------------------- keys, levels, units as tables
+def test_keys_never_collide(spark):
+    rows = [("u", "a::b", "c", 1, 0, 0), ("u", "a", "b::c", 0, 1, 1), ("u", None, "x", 1, 0, 2), ("u", "%00", "x", 0, 1, 3), ("u", "y:", ":z", 1, 0, 4), ("u", "y", "::z", 0, 1, 5)]
+    df = spark.createDataFrame(rows, "u string, k1 string, k2 string, A int, B int, seq long")
+    assert df.select(A.composite(["k1", "k2"]).alias("k")).distinct().count() == 6
+    acc = A.accumulate(df, ["u"], ["k1", "k2"], ["A", "B"], ["seq"], back=4, check_rows=False)
+    assert acc.counts.first()["A & B"] == 0
+    with pytest.raises(ValueError, match="join"):
+        A.check_keys(df.where("seq < 2"), ["k1", "k2"], "::")
+    assert df.limit(1).select(A.composite(["u", "A"]).alias("k")).first().k == "u::1"
+
+
+def test_unknown_levels_are_errors(twelve):
+    args = twelve, ["name"], ["day"], ["c1", "c2", "c3"], ["seq"]
+    half = T.Tensor([("name", "sender")], {("J",): (1.0, 2)}, (1.0, 4))
+    with pytest.raises(ValueError, match="does not know"):
+        T.accumulate_tensor(*args, half)
+    assert T.accumulate_tensor(*args, half, levels={"name": ["J", "Z"]}).counts.count() == 2
+
+
+def test_units_as_a_table_and_options_of_trajectories(spark, twelve):
+    args = ["name"], ["day"], ["c1", "c2", "c3"], ["seq"]
+    wanted = spark.createDataFrame([("J",)], "who string")
+    mask = np.ones((3, 3), int)
+    mask[0, 1] = 0
+    one = A.accumulate(twelve, *args, units_used=wanted, mask=mask, misses=True, metadata=["act"])
+    two = A.accumulate(twelve, *args, units_used=["J"], mask=mask, misses=True, metadata=["act"])
+    assert table(one.counts, one.names) == table(two.counts, two.names) and set(table(one.counts, one.names)) == {"J"}
+    steps = A.as_trajectory(twelve, one, ["act"], ["seq"])
+    assert steps.misses is not None and steps.metadata is not None and {r["ENA_UNIT"] for r in steps.counts.collect()} == {"J"}
+    assert all(r["c1 & c2"] == 0 for r in steps.counts.collect())
+    tensor = T.Tensor([("name", "sender")], {("J",): (1.0, 2), ("Z",): (1.0, 3)}, (1.0, 4))
+    assert A.as_trajectory(twelve, T.accumulate_tensor(twelve, *args, tensor), ["act"], ["seq"]).counts.count() == 6
+
+
+def test_exact_u():
+    assert abs(D.u_two_sided(0, 3, 4) - 2 / 35) < 1e-12 and D.u_two_sided(6, 3, 4) == 1.0 and abs(D.u_two_sided(2, 5, 5) - 2 * 4 / 252) < 1e-12

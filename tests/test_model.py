@@ -10,7 +10,20 @@ from codeweave.operators import nodes as N
 from codeweave.operators import rotate as R
 from codeweave.operators import stats as S
 
-ROWS = list(zip("xxxyyzwwvvv", "11122344555", [2, 1, 0, 1, 1, 1, 0, 1, 1, 0, 1], [0, 3, 1, 1, 0, 1, 1, 1, 0, 1, 1], [1, 0, 2, 0, 1, 0, 1, 0, 1, 1, 0], range(11)))
+# Rows (unit, conversation, codes A, B, C, place) and the numbers of their model.
+ROWS = [
+    ("x", "1", 2, 0, 1, 0),
+    ("x", "1", 1, 3, 0, 1),
+    ("x", "1", 0, 1, 2, 2),
+    ("y", "2", 1, 1, 0, 3),
+    ("y", "2", 1, 0, 1, 4),
+    ("z", "3", 1, 1, 0, 5),
+    ("w", "4", 0, 1, 1, 6),
+    ("w", "4", 1, 1, 0, 7),
+    ("v", "5", 1, 0, 1, 8),
+    ("v", "5", 0, 1, 1, 9),
+    ("v", "5", 1, 1, 0, 10),
+]
 ORDERED = [[2, 1.5, 2, 10.5, 3, 5, 7, 7, 2], [1, 1.5, 0.5, 0.5, 0, 0, 1.5, 1, 0], [0, 0.5, 0, 0.5, 0, 0, 0, 0, 0], [0, 1.5, 1, 0.5, 1, 1.5, 0, 0.5, 0], [1, 1.5, 2.5, 2.5, 1, 3.5, 1.5, 0.5, 1]]
 POINTS = [[-0.0198167962873098, -0.342333571996956], [0.356850738095506, -0.350556385497795], [0.447386401038135, 0.464959175048637], [-0.393143559416237, 0.278575634087865], [-0.391276783430095, -0.0506448516417511]]
 NODES = [[1.8571194903539, -0.683406305961015], [-0.93090817324194, 1.60659524495341], [-1.48168191522659, -1.61509053060306]]
