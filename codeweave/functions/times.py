@@ -9,7 +9,10 @@ UNIT_SECONDS = {"secs": 1, "mins": 60, "hours": 3600, "days": 86400, "weeks": 60
 _ALIASES = {"seconds": "secs", "sec": "secs", "second": "secs", "minutes": "mins", "min": "mins", "minute": "mins"}
 
 # The accepted date formats, in the order in which they are tried.
-DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd", "MM-dd-yyyy", "dd-MM-yyyy", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "MM/dd/yy HH:mm", "dd/MM/yy HH:mm", "MM/dd/yyyy HH:mm", "MM/dd/yy HH:mm")
+DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyy/MM/dd", "MM-dd-yyyy", "dd-MM-yyyy", "yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss", "MM/dd/yy HH:mm", "dd/MM/yy HH:mm", "MM/dd/yyyy HH:mm")
+# One-digit hours, days and months, which get a leading zero; elapsed times as MM:SS and HH:MM:SS.
+PADDED = ((r" (\d):", " 0$1:"), (r"^(\d)([/-])", "0$1$2"), (r"(?<=[/-])(\d)(?=[/-])", "0$1"))
+ELAPSED = (r"^(\d{1,2}):(\d{2})$", r"^(\d{1,3}):(\d{2}):(\d{2})$")
 
 
 def seconds_per_unit(unit: str | None) -> int | None:
@@ -26,9 +29,10 @@ def seconds_per_unit(unit: str | None) -> int | None:
 
 def _padded(text: Column) -> Column:
     """One-digit hours, days and months get a leading zero."""
-    text = F.regexp_replace(F.trim(text), r" (\d):", " 0$1:")
-    text = F.regexp_replace(text, r"^(\d)([/-])", "0$1$2")
-    return F.regexp_replace(text, r"(?<=[/-])(\d)(?=[/-])", "0$1")
+    text = F.trim(text)
+    for pattern, put in PADDED:
+        text = F.regexp_replace(text, pattern, put)
+    return text
 
 
 def parse_seconds(value: Column) -> Column:
@@ -38,12 +42,12 @@ def parse_seconds(value: Column) -> Column:
     """
     text = _padded(value.cast("string"))
     part = lambda pattern, k: F.regexp_extract(text, pattern, k).cast("double")
-    short, long = r"^(\d{1,2}):(\d{2})$", r"^(\d{1,3}):(\d{2}):(\d{2})$"
+    short, long = ELAPSED
     tried = [
         F.when(text.rlike(short), part(short, 1) * 60 + part(short, 2)),
         F.when(text.rlike(long), part(long, 1) * 3600 + part(long, 2) * 60 + part(long, 3)),
     ]
-    for fmt in dict.fromkeys(DATE_FORMATS):
+    for fmt in DATE_FORMATS:
         pattern = "^" + fmt.replace("yyyy", r"(\d{4})").replace("yy", r"(\d{2})").replace("MM", r"(\d{2})").replace("dd", r"(\d{2})").replace("HH", r"(\d{2})").replace("mm", r"(\d{2})").replace("ss", r"(\d{2})") + "$"
         fields = [f for f in fmt.replace("/", " ").replace("-", " ").replace(":", " ").split()]
         got = {f: F.regexp_extract(text, pattern, k + 1).cast("int") for k, f in enumerate(fields)}
