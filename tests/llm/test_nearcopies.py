@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -103,3 +104,39 @@ def test_a_large_group_in_whole_cells_and_in_parts(spark, monkeypatch, cell):
     want = dict(enumerate(slow_groups(texts, slow_links(texts))))
     assert all(want[i] == want[got[i]] for i in got)
     assert sum(got[i] == want[i] for i in got) >= 0.98 * len(got)
+
+
+@pytest.mark.parametrize("cell, shingles_", [(nearcopies.CELL, nearcopies.SHINGLES), (20, 2000)])
+def test_no_text_of_a_large_group_about_the_limit_is_left(spark, monkeypatch, cell, shingles_):
+    monkeypatch.setattr(nearcopies, "CELL", cell)
+    monkeypatch.setattr(nearcopies, "SHINGLES", shingles_)
+    rng = random.Random(9)
+    base = [word(rng) for _ in range(120)]
+    texts = [" ".join(word(rng) if rng.random() < 0.02 else w for w in base) for _ in range(150)] + [" ".join(word(rng) for _ in range(60)) for _ in range(20)]
+    _, got = grouped(spark, texts)
+    assert got == dict(enumerate(slow_groups(texts, slow_links(texts))))
+
+
+def test_sets_compared_by_masks_and_rows_match_brute_force():
+    rng = random.Random(10)
+    for m in (2, 90):
+        base = [rng.getrandbits(63) for _ in range(60)]
+        sets = [sorted({x if rng.random() > 0.06 else rng.getrandbits(63) for x in base}) for _ in range(m)]
+        root = [7 if k < m // 10 else 0 for k in range(m)]
+        a, b = nearcopies.alike(np.arange(m) + 1, [np.array(s, np.uint64) for s in sets], np.array(root, np.int64))
+        links = [(j, i) for i in range(m) for j in range(i) if 5 * len({*sets[i]} & {*sets[j]}) >= 4 * len({*sets[i]} | {*sets[j]})]
+        assert {(min(x, y) - 1, max(x, y) - 1) for x, y in zip(a.tolist(), b.tolist())} <= set(links)
+        known = [(0, k) for k in range(m // 10)]
+        words = ["w"] * m
+        assert slow_groups(words, known + [(x - 1, y - 1) for x, y in zip(a.tolist(), b.tolist())]) == slow_groups(words, known + links)
+
+
+def test_any_two_rows_of_a_dealt_cell_meet(spark):
+    rows = [(1, 5 if k < 30 else 0 if k < 37 else 6, k) for k in range(40)] + [(2, 0, 100 + k) for k in range(25)] + [(3, 9, 200 + k) for k in range(20)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "cell long, root long, node long, w int")
+    keys = {}
+    for r in nearcopies.dealt(df, "w", 8).collect():
+        keys.setdefault(r.node, set()).add((r.cell, r.key))
+    assert not any(n >= 200 for n in keys)
+    for cell, root, x in rows[:65]:
+        assert all(keys[x] & keys[y] for c, r, y in rows[:65] if c == cell and not root == r == 5)
