@@ -52,6 +52,8 @@ HOLD = 1 << 18
 FEW = 32
 #: Classes of a blob of the first pass from which the second one knows it.
 KNOWN = 16
+#: Edges up to this many are connected in one task, more by star contraction.
+ONE_TASK = 1 << 20
 #: Keys up to this many are broadcast (24 bytes each), more are joined by shuffle.
 BROADCAST_KEYS = 500_000
 
@@ -382,16 +384,30 @@ def confirmed(parts: DataFrame) -> DataFrame:
     return durable(sorted_.mapInArrow(run, "a long, b long"))
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """``node``, ``root`` (the smallest node reachable) for the nodes of edges ``a``, ``b`` that aren't roots; ``edges`` is read twice."""
+    if edges.count() > ONE_TASK:
+        return simhash.components(edges)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
+        if rows:
+            node, root = simhash._forest(*(np.concatenate(c) for c in zip(*rows)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
+
+    return durable(edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, root long"))
+
+
 def linked(docs: DataFrame, classes: DataFrame, size: int, text_col: str) -> DataFrame:
     """``node``, ``root`` of linked classes."""
     full, most = classes.where("n > 0"), SHINGLES
     near = met(full.withColumn("root", F.lit(0).cast("long")), True)
-    first = simhash.components(near)
+    first = connected(near)
     large = first.groupBy("root").agg(F.count("*").alias("nodes")).where(F.col("nodes") >= KNOWN)
     known = durable(first.join(F.broadcast(large), "root").select("node", "root"))
     known = known.union(known.select(F.col("root").alias("node"), "root").distinct()).distinct()
     near = near.union(met(full.join(known, "node", "left").withColumn("root", F.coalesce("root", F.lit(0).cast("long"))), False))
-    blobs = simhash.components(near).withColumnRenamed("root", "cell")
+    blobs = connected(near).withColumnRenamed("root", "cell")
     blobs = durable(blobs.union(blobs.select(F.col("cell").alias("node"), "cell")).distinct().join(full.select("node", "n", "k1", "k2"), "node"))
     sets = shingle_sets(docs, blobs, size, text_col)
     large = durable(blobs.groupBy("cell").agg(F.sum("n").alias("all")).where(F.col("all") > most))
@@ -402,11 +418,11 @@ def linked(docs: DataFrame, classes: DataFrame, size: int, text_col: str) -> Dat
     sets = sets.join(F.broadcast(large.withColumn("parts", parts)), "cell", "left")
     dealings = F.expr("if(parts is null, array(cell), transform(array(1, 2), d -> xxhash64(cell, d, pmod(xxhash64(d, node), parts))))")
     links = confirmed(sets.withColumn("key", F.explode(dealings)).withColumn("root", F.lit(0).cast("long")))
-    roots = simhash.components(links)
+    roots = connected(links)
     if some:
         placed = sets.where("parts is not null").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         links = links.union(confirmed(dealt(placed.select("cell", "node", "n", "root", "shingles"), "n", most)))
-        roots = simhash.components(links)
+        roots = connected(links)
     return roots
 
 

@@ -140,3 +140,12 @@ def test_any_two_rows_of_a_dealt_cell_meet(spark):
     assert not any(n >= 200 for n in keys)
     for cell, root, x in rows[:65]:
         assert all(keys[x] & keys[y] for c, r, y in rows[:65] if c == cell and not root == r == 5)
+
+
+def test_one_task_connects_what_star_contraction_does(spark, monkeypatch):
+    rng = random.Random(11)
+    edges = spark.createDataFrame([(rng.randrange(300), rng.randrange(300)) for _ in range(170)], "a long, b long").where("a <> b")
+    one = sorted(map(tuple, nearcopies.connected(edges).collect()))
+    monkeypatch.setattr(nearcopies, "ONE_TASK", 0)
+    assert one == sorted(map(tuple, nearcopies.connected(edges).collect()))
+    assert nearcopies.connected(edges.limit(0)).count() == 0
