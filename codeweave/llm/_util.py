@@ -27,6 +27,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """Narrow rows dealt into partitions of the advisory size, not one for each task before.
+
+    A checkpoint writes a file for each partition, and without Hadoop's native library executors start two processes
+    for each file (its permissions and its checksum's).
+    """
+    return df.hint("rebalance")
+
+
 def shared(df: DataFrame, model: object) -> Callable[[], object]:
     """A function that gives executors the model.
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from ._util import column, durable, fresh, hot_join, spread, words_of
+from ._util import column, durable, few_files, fresh, hot_join, spread, words_of
 
 #: Of 128 bits; 4.6 standard deviations beyond the mean of pairs at 4/5, and 4.6 below that of unlike texts.
 MAX_BITS = 38
@@ -258,13 +258,13 @@ def met(classes: DataFrame, homes: bool) -> DataFrame:
     both = f"{schema}, a long, b long"
     n = spread(classes.sparkSession, classes.count() * (12 if homes else 170), 4_000_000)
     copies = classes.select("c1", "c2", "root", *[f"f{k}" for k in lanes]).mapInArrow(replicate, schema)
-    found = durable(copies.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(lambda x: compare(x, homes, False), both))
+    found = durable(few_files(copies.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(lambda x: compare(x, homes, False), both)))
     links = found.where("cell is null").select("a", "b")
     large = found.where("cell is not null").select(*names, F.xxhash64("c1", "c2").alias("node"), F.lit(1).alias("one"))
     if not homes and not large.isEmpty():
         parts = dealt(large, "one", most).select(F.col("key").alias("cell"), "home", "c1", "c2", "root")
         rest = parts.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda x: compare(x, False, True), both)
-        links = durable(links.union(rest.select("a", "b")))
+        links = durable(few_files(links.union(rest.select("a", "b"))))
     return links
 
 
@@ -381,7 +381,7 @@ def confirmed(parts: DataFrame) -> DataFrame:
             yield solve()
 
     sorted_ = parts.select("key", "node", "root", "shingles").repartition("key").sortWithinPartitions("key")
-    return durable(sorted_.mapInArrow(run, "a long, b long"))
+    return durable(few_files(sorted_.mapInArrow(run, "a long, b long")))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -428,7 +428,7 @@ def linked(docs: DataFrame, classes: DataFrame, size: int, text_col: str) -> Dat
 
 def near_duplicates(docs: DataFrame, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``k1``, ``k2`` (its key), ``doc_id``, ``component_id`` (the smallest id of its group), ``group`` (a number of it)."""
-    rows = durable(marks(docs, size, id_col, text_col))
+    rows = durable(few_files(marks(docs, size, id_col, text_col)))
     prints = [f"f{k}" for k in range(len(simhash.LANES))]
     which = F.struct("n", "k1", "k2")
     found = rows.groupBy("node", "c1", "c2").agg(F.min(which).alias("t"), F.min("doc_id").alias("least"), F.count("*").alias("rows"), *[F.min_by(f, which).alias(f) for f in prints])

@@ -149,3 +149,13 @@ def test_one_task_connects_what_star_contraction_does(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "ONE_TASK", 0)
     assert one == sorted(map(tuple, nearcopies.connected(edges).collect()))
     assert nearcopies.connected(edges.limit(0)).count() == 0
+
+
+def test_checkpoints_of_narrow_rows_write_few_files(spark):
+    """Executors start processes for each file that a checkpoint writes: few rows make few files, however many tasks there were."""
+    rng = random.Random(12)
+    df = spark.createDataFrame([(k, " ".join(word(rng) for _ in range(40))) for k in range(64)], "doc_id long, text string")
+    rows = nearcopies.marks(df.repartition(16), 5, "doc_id", "text")
+    classes = nearcopies.durable(rows.selectExpr("*", "0L as root"))
+    assert classes.rdd.getNumPartitions() == 16
+    assert nearcopies.met(classes, True).rdd.getNumPartitions() < 8 and nearcopies.met(classes, False).rdd.getNumPartitions() < 8
