@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +49,11 @@ BELOW, ABOVE, LEAST, ALLOWANCE = 2.5, 6.0, 0.05, 6.0
 
 
 # ------------------------------------------------------------------ rule counts
-def rule_counts(text: str | None) -> tuple[int, int, int, int, int]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
+def rule_counts(text: str | None, counts: Counter | None = None, words: list[bytes] | None = None) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text; its words and their counts may be given."""
     if not text:
         return 0, 0, 0, 0, 0
-    words = words_of(text)
+    words = words_of(text) if words is None else words
     blank = sum(map(text.count, " \t\n\x0b\x0c\r"))
     symbols = sum(map(text.count, SYMBOLS))
     seen: set[str] = set()
@@ -63,22 +64,24 @@ def rule_counts(text: str | None) -> tuple[int, int, int, int, int]:
                 dup += 1
             elif line.strip(" \t\n\x0b\x0c\r"):
                 seen.add(line)
-    return len(words), len(text) - blank, symbols, dup, repeated_words(words)
+    return len(words), len(text) - blank, symbols, dup, repeated_words(words, Counter(words) if counts is None else counts)
 
 
-def repeated_words(words: list[bytes]) -> int:
+def repeated_words(words: list[bytes], counts: Counter) -> int:
     """Words that lie in a 3-word window found twice or more."""
     n = len(words)
-    if n < 4:
+    v = len(counts)
+    if n < 4 or v == n:
         return 0
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, n)
-    v = len(number)
+    number = dict(zip(counts, range(v)))
+    ids = np.fromiter(map(number.__getitem__, words), np.int64, n)
     pairs = np.unique(ids[:-1] * v + ids[1:], return_inverse=True)[1] if v > 1 << 20 else ids[:-1] * v + ids[1:]
     windows = pairs[:-1] * v + ids[2:]
-    order = np.argsort(windows, kind="stable")
+    order = np.argsort(windows)
     ranked = windows[order]
     same = ranked[1:] == ranked[:-1]
+    if not same.any():
+        return 0
     twice = np.zeros(n - 2, bool)
     twice[order[1:][same]] = True
     twice[order[:-1][same]] = True
@@ -106,16 +109,38 @@ def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lags[4] << 2 * BITS | lags[3] << BITS | lags[2], lags[1] << BITS | lags[0], number
 
 
+def _order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The order of n-grams from ``_grams``: by one long if the symbols, numbered among themselves, fit in."""
+    low = (1 << BITS) - 1
+    symbols = [a >> 2 * BITS, a >> BITS & low, a & low, b >> BITS, b & low]
+    seen = np.zeros(int(symbols[-1].max()) + 1, bool)  # each symbol but the start sign is the last one of some n-gram
+    seen[symbols[-1]] = seen[START] = True
+    number = np.cumsum(seen)
+    bits = int(number[-1]).bit_length()
+    if bits * ORDER > 63:
+        return np.lexsort((b, a))
+    key = np.zeros(len(a), np.int64)
+    for s in symbols:
+        key = key << bits | number[s]
+    return np.argsort(key)
+
+
 def ngram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", hold: int = 150_000) -> DataFrame:
     """``lang``, ``a``, ``b``, ``n``: counts of the longest n-grams of all documents; a task holds about ``hold`` words."""
 
-    def counted(lang: str | None, words: Counter) -> pa.RecordBatch:
-        many = np.fromiter(words.values(), np.int64, len(words))
-        a, b, number = _grams(list(words))
-        order = np.lexsort((b, a))
-        a, b, n = a[order], b[order], many[number[order]]
+    def summed(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = _order(a, b)
+        a, b, n = a[order], b[order], n[order]
         first = np.nonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))[0]
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), pa.array(a[first]), pa.array(b[first]), pa.array(np.add.reduceat(n, first))], ["lang", "a", "b", "n"])
+        return a[first], b[first], np.add.reduceat(n, first)
+
+    def counted(lang: str | None, words: Counter, step: int = 1 << 14) -> pa.RecordBatch:
+        every, many, parts = list(words), np.fromiter(words.values(), np.int64, len(words)), []
+        for at in range(0, len(every), step):
+            a, b, number = _grams(every[at : at + step])
+            parts.append(summed(a, b, many[at + number]))
+        a, b, n = summed(*map(np.concatenate, zip(*parts)))
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(a), pa.array(b), pa.array(n)], ["lang", "a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str | None, Counter] = {}
@@ -235,6 +260,14 @@ class Model:
     def log_probabilities(self, language: int, words: list[bytes]) -> np.ndarray:
         """Log probability of each word with its end sign."""
         a, b, number = _grams(words)
+        # Each n-gram is looked up once, in the order of the table.
+        key = _key(language, ORDER, a, b)
+        order = np.argsort(key)
+        ranked = key[order]
+        first = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+        which = np.empty(len(a), np.int64)
+        which[order] = np.cumsum(first) - 1
+        a, b = a[order[first]], b[order[first]]
         p, open_, factor = np.zeros(len(a)), np.arange(len(a)), np.ones(len(a))
         for n in range(ORDER, 0, -1):
             x, y = a[open_], b[open_]
@@ -255,13 +288,13 @@ class Model:
             else:
                 zero = np.zeros(1, np.int64)
                 p[open_] = factor * float(self._find(self.weights, _key(language, 64, zero, zero), 1e-4)[0])
-        return np.bincount(number, weights=np.log(p), minlength=len(words))
+        return np.bincount(number, weights=np.log(p)[which], minlength=len(words))
 
 
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def measure(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: int = 400_000, carry: bool = False) -> DataFrame:
+def measure(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: int = 150_000, carry: bool = False) -> DataFrame:
     """``doc_id``, ``lang``, ``h`` (a hash of the text), rule counts and ``log_ppl``, log perplexity by word (null without words), of each document.
 
     With ``carry`` the columns of ``docs`` come first under their own names, the others under fresh ones.
@@ -278,27 +311,28 @@ def measure(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 doc, text, lang, h = part.columns[-4:]
-                langs, counted, rules = lang.to_pylist(), [], []
+                langs, counted, rules, found = lang.to_pylist(), [], [], []
                 fresh_words: dict[str | None, dict[bytes, None]] = {}
                 for name, value in zip(langs, text):
                     value = value.as_py()
-                    rules.append(rule_counts(value))
-                    counted.append(words := Counter(words_of(value)))
-                    old = known.setdefault(name, {})
-                    fresh_words.setdefault(name, {}).update(dict.fromkeys(w for w in words if w not in old))
+                    words = words_of(value)
+                    counted.append(counts := Counter(words))
+                    rules.append(rule_counts(value, counts, words))
+                    found.append(got := list(map(known.setdefault(name, {}).get, counts)))
+                    if None in got:
+                        fresh_words.setdefault(name, {}).update(dict.fromkeys([w for w, x in zip(counts, got) if x is None]))
                 if size + sum(map(len, fresh_words.values())) > keep:
-                    known, size = {}, 0
-                    for name in fresh_words:
-                        fresh_words[name] = {w: None for x, c in zip(langs, counted) if x == name for w in c}
+                    known, size = {}, 0  # scores that are found already stay as they are
                 for name, new in fresh_words.items():
-                    if new:
-                        new = list(new)
-                        size += len(new)
-                        known.setdefault(name, {}).update(zip(new, own_model.log_probabilities(language_number(name), new).tolist()))
+                    new = list(new)
+                    size += len(new)
+                    known.setdefault(name, {}).update(zip(new, own_model.log_probabilities(language_number(name), new).tolist()))
                 scores = []
-                for name, words, rule in zip(langs, counted, rules):
-                    old = known.get(name, {})
-                    scores.append(-sum(old[w] * c for w, c in words.items()) / rule[0] if rule[0] else None)
+                for name, counts, got, rule in zip(langs, counted, found, rules):
+                    if None in got:
+                        old = known[name]
+                        got = [old[w] if x is None else x for w, x in zip(counts, got)]
+                    scores.append(-sum(map(mul, got, counts.values())) / rule[0] if rule[0] else None)
                 columns = [pa.array([r[k] for r in rules], pa.int64()) for k in range(5)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-4], doc, lang, h, *columns, pa.array(scores, pa.float64())], [*own, *names])
 
@@ -325,8 +359,10 @@ def measure_joined(docs: DataFrame, grams: dict[int, DataFrame], id_col: str = "
                 part = batch.slice(at, 512)
                 doc, text, lang, h = part.columns[-4:]
                 values = [t.as_py() for t in text]
-                rules = [rule_counts(t) for t in values]
-                held = [[{"w": w, "n": n} for w, n in Counter(words_of(t)).items()] for t in values]
+                words = list(map(words_of, values))
+                counted = list(map(Counter, words))
+                rules = list(map(rule_counts, values, counted, words))
+                held = [[{"w": w, "n": n} for w, n in c.items()] for c in counted]
                 columns = [pa.array([r[k] for r in rules], pa.int64()) for k in range(5)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-4], doc, lang, h, *columns, pa.array(held, kind)], [*own, *names[:8], bag])
 

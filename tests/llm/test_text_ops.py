@@ -42,6 +42,26 @@ def test_rule_counts():
         assert perplexity.rule_counts(t) == slow_rules(t)
 
 
+def test_ngrams_are_sorted_by_one_long_and_looked_up_once(monkeypatch):
+    for symbols in (40, 5000):  # the latter don't fit in one long
+        a, b, _ = perplexity._grams(["".join(chr(0x4E00 + (k * 7 + j * j) % symbols) for j in range(k % 9 + 1)).encode() for k in range(symbols)])
+        slow, order = np.lexsort((b, a)), perplexity._order(a, b)
+        assert (a[order] == a[slow]).all() and (b[order] == b[slow]).all()
+    looked, model = [], object.__new__(perplexity.Model)
+    model.grams = model.weights = np.empty(0, np.uint64), np.empty(0, np.float32)
+    find = perplexity.Model._find
+    monkeypatch.setattr(perplexity.Model, "_find", staticmethod(lambda table, key, default: looked.append(len(key)) or find(table, key, default)))
+    got = model.log_probabilities(1, [b"abc", b"abc", b"abcd", b"abc"])
+    assert max(looked) == 6 and got[0] == got[1] == got[3] != got[2]
+
+
+def test_scores_do_not_depend_on_the_words_remembered(spark):
+    df = frame(spark, texts(8))
+    model = perplexity.Model(*perplexity.probabilities(perplexity.ngram_counts(df)))
+    one, two = (sorted(map(tuple, perplexity.measure(df, model, keep=k).collect()), key=str) for k in (3, 150_000))
+    assert one == two
+
+
 def slow_model(docs):
     """Modified Kneser-Ney over padded words, with dictionaries; per language."""
     order, grams = perplexity.ORDER, {}
