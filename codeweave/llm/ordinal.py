@@ -175,13 +175,13 @@ def graded(docs_labels: DataFrame) -> DataFrame:
     return docs_labels.select("doc_id", grade.cast("int").alias("grade"))
 
 
-def scored(docs: DataFrame, model: Ordinal, text: Column) -> Column:
-    """A struct column: ``expected`` grade, ``p_ge1``, ``p_ge2``."""
+def scored(docs: DataFrame, model: Ordinal, text: Column, keep: int = 300_000) -> Column:
+    """A struct column: ``expected`` grade, ``p_ge1``, ``p_ge2``; a task remembers ``keep`` words (about 400 bytes each)."""
     get = shared(docs, model)
 
     @F.pandas_udf("expected double, p_ge1 double, p_ge2 double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        features, m = Features(), get()
+        features, m = Features(keep), get()
         for texts in batches:
             tails = np.array([m.tails(*features.of(t)) for t in texts]).reshape(-1, GRADES - 1)
             yield pd.DataFrame({"expected": tails.sum(1), "p_ge1": tails[:, 0], "p_ge2": tails[:, 1]})
@@ -195,6 +195,6 @@ def classify(docs: DataFrame, model: Ordinal, threshold: float = 0.5, id_col: st
     return rows.select("doc_id", "s.expected", "s.p_ge1", "s.p_ge2", (F.col("s.p_ge2") >= threshold).alias("kept"))
 
 
-def keep_good(docs: DataFrame, model: Ordinal, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, model: Ordinal, threshold: float = 0.5, text_col: str = "text", keep: int = 120_000) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
-    return docs.where(scored(docs, model, F.col(text_col))["p_ge2"] >= threshold)
+    return docs.where(scored(docs, model, F.col(text_col), keep)["p_ge2"] >= threshold)

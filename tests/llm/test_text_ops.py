@@ -387,3 +387,10 @@ def test_classifier(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, r in out.items() if r.kept}
     none = ordinal.fit(docs, grades.limit(0))
     assert all(r.kept for r in ordinal.classify(docs, none).collect())
+
+
+def test_kept_documents_do_not_depend_on_the_words_remembered(spark):
+    weights = np.random.default_rng(1).normal(size=1 << ordinal.BITS)
+    model, df = ordinal.Ordinal(weights, np.zeros(ordinal.GRADES - 1)), frame(spark, texts(9))
+    few, many = (sorted(map(tuple, ordinal.keep_good(df, model, keep=k).collect()), key=str) for k in (3, 120_000))
+    assert few == many and 0 < len(few) < df.count()
