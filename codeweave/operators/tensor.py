@@ -12,6 +12,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -230,18 +232,23 @@ def grounds(rows: DataFrame, tensor: Tensor, codes: Sequence[str], factors: Sequ
 
 
 # --------------------------------------------------------------------- horizons
+def rule_columns(rules: dict[str, Sequence[str]]) -> list[str]:
+    """The columns of all rules, each once."""
+    if not rules:
+        raise ValueError("there must be a rule")
+    for value, columns in rules.items():
+        if not columns:
+            raise ValueError(f"rule {value!r} has no columns")
+    return list(dict.fromkeys(c for columns in rules.values() for c in columns))
+
+
 def horizon_lines(df: DataFrame, units: Sequence[str], by: str, rules: dict[str, Sequence[str]]) -> DataFrame:
     """Each unit's context: a row for each line and each unit that has it, with the unit in ENA_UNIT and its piece in ENA_CONV.
 
     A line whose ``by`` value has a rule is in a unit's context if every column of the rule holds a value that the
     unit has on some line.  Pieces are split on the columns of all rules.
     """
-    if not rules:
-        raise ValueError("there must be a rule")
-    for value, columns in rules.items():
-        if not columns:
-            raise ValueError(f"rule {value!r} has no columns")
-    split = list(dict.fromkeys(c for columns in rules.values() for c in columns))
+    split = rule_columns(rules)
     rows = df.withColumn("__own", composite(units)).withColumn(CONVERSATION, composite(split))
     parts = []
     for value, columns in rules.items():
@@ -259,15 +266,23 @@ def horizon_lines(df: DataFrame, units: Sequence[str], by: str, rules: dict[str,
 
 
 def accumulate_horizons(df: DataFrame, units: Sequence[str], codes: Sequence[str], order_by: Sequence[str], by: str, rules: dict[str, Sequence[str]], back: float = 4, weight: Weight = "binary", ordered: bool = False, self_connections: bool = False) -> Accumulation:
-    """Networks over flexible horizons: windows run in each unit's pieces, and the unit's own lines are its responses."""
+    """Networks over flexible horizons: windows run in each unit's pieces, and the unit's own lines are its responses.
+
+    Only the pieces in which a unit has a line of its own give it responses.  Such a line holds the piece's values of all
+    rules' columns, so that the unit meets every rule there: its context is the piece's lines that have a rule, the same for
+    all units.  Windows therefore run once in each piece, and no line is copied to the units whose context it is in.
+    """
     from .accumulate import _frames, connections, sum_by
 
     codes = list(codes)
     layout = "ordered" if ordered else "self" if self_connections else "unordered"
-    lines = horizon_lines(df, units, by, rules)
-    lines = lines.select(UNIT, CONVERSATION, "__own", F.struct(*[col(c) for c in order_by]).alias(FIRST), *[col(c).cast("double").alias(c) for c in codes])
-    h, _ = _frames(codes, Window.partitionBy(UNIT, CONVERSATION).orderBy(FIRST), back, 0)
-    marked = lines.select("*", *[x.alias(f"__h{n}") for n, x in enumerate(h)]).where(F.col("__own") == F.col(UNIT))
+    split = rule_columns(rules)
+    rows = df.withColumn(UNIT, composite(units)).withColumn(CONVERSATION, composite(split))
+    ruled = [(col(by) == F.lit(value)) & reduce(and_, [col(c).isNotNull() for c in columns]) for value, columns in rules.items()]
+    lines = rows.where(reduce(or_, ruled))
+    lines = lines.select(UNIT, CONVERSATION, F.struct(*[col(c) for c in order_by]).alias(FIRST), *[col(c).cast("double").alias(c) for c in codes])
+    h, _ = _frames(codes, Window.partitionBy(CONVERSATION).orderBy(FIRST), back, 0)
+    marked = lines.select("*", *[x.alias(f"__h{n}") for n, x in enumerate(h)])
     h = [F.col(f"__h{n}") for n in range(len(codes))]
     made = marked.select(UNIT, CONVERSATION, FIRST, *connections(codes, layout, weight, [col(c) for c in codes], h, None, set()))
     counts = sum_by(made, L.pair_names(codes, layout), [UNIT])
