@@ -38,3 +38,12 @@ def test_one_horizon_is_not_copied_to_units(talk, rules):
         acc = T.accumulate_horizons(talk, ["u"], ["A", "B"], ["seq"], "m", rules, back=back, weight="product")
         assert {u: v[0] for u, v in by_unit(acc.counts, acc.names).items()} == slow_horizons(talk, rules, back)
     assert "Join" not in acc.counts._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("rules", [{"p": ["g"], "q": ["k"]}, {"p": ["g", "k"], "q": ["k"], "s": ["m"]}, {"p": ["k", "u"], "r": ["g"]}])
+def test_rules_on_other_columns_are_not_copied_to_units(talk, rules):
+    acc = T.accumulate_horizons(talk, ["u"], ["A", "B"], ["seq"], "m", rules, back=4, weight="product")
+    assert {u: v[0] for u, v in by_unit(acc.counts, acc.names).items()} == slow_horizons(talk, rules, 4)
+    assert "Join" not in acc.counts._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError):
+        T.accumulate_horizons(talk, ["u"], ["A", "B"], ["seq"], "m", rules | {"z": []})
