@@ -2,10 +2,12 @@
 
 A tensor gives each combination of factor values a weight and a window.  Sender factors are read on
 the ground line, receiver factors on the response line, mode factors on the ground line.
-A constant tensor is a plain moving window and is planned as one (a Window operator); any other is a join of
-each response with the ground lines of its conversation.  That join has a band on the lines' places
-rather than a bare range: ground lines are bucketed by the widest window and responses look into the buckets that
-their window reaches (two where times follow the order), so that it is an equi-join on (conversation, bucket).
+A constant tensor is a plain moving window and is planned as one (a Window operator).  Windows of a few lines
+are a join of each response with the ground lines of its conversation, which has a band on the lines' places
+rather than a bare range: ground lines are bucketed by the widest window and responses look into the two buckets that
+their window reaches, so that it is an equi-join on (conversation, bucket).  A window of time or of many lines may hold
+any number of lines, and its pairs grow with the square of a conversation: such sums are made without pairs, in
+one pass over the sorted lines (``plans.sweep``).
 """
 
 from __future__ import annotations
@@ -15,17 +17,22 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import layout as L
 from ..functions.times import seconds_per_unit, time_seconds
 from ..functions.weights import Weight, weight_function
 from ..model import CONVERSATION, FIRST, UNIT, Accumulation
 from ..plans.linalg import col
+from ..plans.sweep import window_sums
 from .accumulate import INFINITE, accumulate, composite, only_units, prepare, summed, validate
 
 ROLES = ("sender", "receiver", "mode")
+#: The widest window, in lines, that is joined.
+JOINED_LINES = 64
 
 
 @dataclass
@@ -87,13 +94,16 @@ def _looked_up(tensor: Tensor, which: int) -> Column:
     return out
 
 
-def places(rows: DataFrame, tensor: Tensor, time: Column | None) -> DataFrame:
-    """Lines numbered in their conversation, and their places in lines or seconds."""
+def places(rows: DataFrame, time: Column | None) -> DataFrame:
+    """Lines numbered in their conversation, their places in lines or seconds, and the least place from each line on."""
     order = Window.partitionBy(CONVERSATION).orderBy(FIRST)
-    rows = rows.withColumn("__n", F.row_number().over(order))
-    rows = rows.withColumn("__at", F.col("__n").cast("double") if time is None else time)
-    # Times need not follow the order: an earlier line may stand as late as the latest so far.
-    return rows.withColumn("__top", F.col("__at") if time is None else F.max("__at").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    if time is None:
+        rows = rows.withColumn("__n", F.row_number().over(order)).withColumn("__at", F.col("__n").cast("double"))
+        return rows.withColumn("__low", F.col("__at"))
+    # Times need not follow the order.
+    back = Window.partitionBy(CONVERSATION).orderBy(F.desc(FIRST)).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__at", time)
+    return rows.withColumn("__low", F.min("__at").over(back)).withColumn("__n", F.row_number().over(order))
 
 
 def line_time(df: DataFrame, tensor: Tensor, numeric_time: bool) -> Column:
@@ -151,10 +161,9 @@ def accumulate_tensor(
         time = line_time(df, tensor, numeric_time)
         if df.where(time.isNull()).first() is not None:
             raise ValueError(f"{tensor.time} has values that cannot be read as times")
-    rows = places(rows, tensor, time)
+    rows = places(rows, time)
     scale = float(seconds_per_unit(tensor.time_unit) or 1) if tensor.time else 1.0
-    ground = grounds(rows, tensor, codes, factors, scale)
-    joined = rows.join(ground, [CONVERSATION, "__n"], "left")
+    joined = grounds(rows, tensor, codes, factors, scale)
     h = [F.coalesce(F.col(f"__h{k}"), F.lit(0.0)) for k in range(p)]
     from .accumulate import connections, sum_by, unit_metadata
 
@@ -215,20 +224,39 @@ def own_weighted(codes: Sequence[str], layout: str, weight: Weight, c: Sequence[
 
 
 def grounds(rows: DataFrame, tensor: Tensor, codes: Sequence[str], factors: Sequence[str], scale: float = 1.0) -> DataFrame:
-    """``__h0`` ...: the weighted sums of each response's ground lines."""
-    widest = tensor.widest * scale
-    g = rows.select(CONVERSATION, F.col("__n").alias("g_n"), F.col("__at").alias("g_at"), *[col(c).alias("g_" + c) for c in factors], *[col(c).alias(f"g__{k}") for k, c in enumerate(codes)])
-    r = rows.select(CONVERSATION, F.col("__n").alias("r_n"), F.col("__at").alias("r_at"), F.col("__top").alias("r_top"), *[col(c).alias("r_" + c) for c in factors])
-    near = (F.col("g_n") < F.col("r_n")) & (F.col("r_at") - F.col("g_at") < _looked_up(tensor, 1) * scale)
-    if widest == INFINITE or widest <= 0:
-        pairs = g.join(r, CONVERSATION).where(near)
-    else:
-        g = g.withColumn("__b", F.floor(F.col("g_at") / widest))
-        r = r.withColumn("__b", F.explode(F.sequence(F.floor(F.col("r_at") / widest) - 1, F.floor(F.col("r_top") / widest))))
-        pairs = g.join(r, [CONVERSATION, "__b"]).where(near)
+    """The lines with ``__h0`` ...: the weighted sums of each response's ground lines; null may stand for none."""
+    if tensor.time is not None or not 0 < tensor.widest <= JOINED_LINES:
+        return swept(rows, tensor, codes, scale)
+    widest = tensor.widest
+    g = rows.select(CONVERSATION, F.col("__n").alias("g_n"), *[col(c).alias("g_" + c) for c in factors], *[col(c).alias(f"g__{k}") for k, c in enumerate(codes)])
+    r = rows.select(CONVERSATION, F.col("__n").alias("r_n"), *[col(c).alias("r_" + c) for c in factors])
+    near = (F.col("g_n") < F.col("r_n")) & (F.col("r_n") - F.col("g_n") < _looked_up(tensor, 1))
+    g = g.withColumn("__b", F.floor(F.col("g_n") / widest))
+    r = r.withColumn("__b", F.explode(F.sequence(F.floor(F.col("r_n") / widest) - 1, F.floor(F.col("r_n") / widest))))
+    pairs = g.join(r, [CONVERSATION, "__b"]).where(near)
     w = _looked_up(tensor, 0)
     sums = pairs.groupBy(CONVERSATION, F.col("r_n").alias("__n")).agg(*[F.sum(w * F.col(f"g__{k}")).alias(f"__h{k}") for k in range(len(codes))])
-    return sums
+    return rows.join(sums, [CONVERSATION, "__n"], "left")
+
+
+def swept(rows: DataFrame, tensor: Tensor, codes: Sequence[str], scale: float = 1.0) -> DataFrame:
+    """``grounds`` by one pass over the lines of each conversation, which one task holds as windows do."""
+    sides = [[k for k, (_, role) in enumerate(tensor.factors) if (role == "receiver") == response] for response in (False, True)]
+    keys = [list(dict.fromkeys(tuple(key[k] for k in side) for key in tensor.cells)) for side in sides]
+    tables = [np.full([len(k) + 1 for k in keys], float(tensor.default[which])) for which in (0, 1)]
+    for key, cell in tensor.cells.items():
+        place = tuple(known.index(tuple(key[k] for k in side)) + 1 for known, side in zip(keys, sides))
+        for table, value in zip(tables, cell):
+            table[place] = value
+    kinds = []
+    for known, side in zip(keys, sides):
+        kind = F.lit(0)
+        for n, key in enumerate(known, 1):
+            kind = F.when(reduce(and_, [col(tensor.factors[k][0]) == F.lit(v) for k, v in zip(side, key)], F.lit(True)), n).otherwise(kind)
+        kinds.append(kind)
+    rows = rows.withColumn("__g", kinds[0]).withColumn("__r", kinds[1])
+    schema = StructType([*rows.schema.fields, *[StructField(f"__h{k}", DoubleType()) for k in range(len(codes))]])
+    return rows.repartition(CONVERSATION).sortWithinPartitions(CONVERSATION, "__n").mapInArrow(window_sums(list(codes), tables[1] * scale, tables[0]), schema)
 
 
 # --------------------------------------------------------------------- horizons

@@ -47,3 +47,32 @@ def test_rules_on_other_columns_are_not_copied_to_units(talk, rules):
     assert "Join" not in acc.counts._jdf.queryExecution().optimizedPlan().toString()
     with pytest.raises(ValueError):
         T.accumulate_horizons(talk, ["u"], ["A", "B"], ["seq"], "m", rules | {"z": []})
+
+
+def slow_grounds(rows, near, weight):
+    """Counts under ``product`` by pairs of lines; rows have c, at, n, f, A, B."""
+    out = {}
+    for r in rows:
+        ground = [g for g in rows if g["c"] == r["c"] and g["n"] < r["n"] and near(r, g)]
+        h = [sum(weight(r, g) * g[x] for g in ground) for x in "AB"]
+        own = weight(r, r)
+        out[r["u"]] = out.get(r["u"], 0.0) + own * r["A"] * r["B"] + r["A"] * h[1] + h[0] * r["B"]
+    return out
+
+
+@pytest.fixture(scope="module")
+def clock(spark):
+    """One long conversation and many short ones; times tie and run back, and windows end on them."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for n in range(1500):
+        late = int(rng.choice([0, 0, 0, 600, -300, 5000]))
+        rows.append({"u": f"u{n % 7}", "c": "long" if n % 5 else f"s{n // 20}", "at": 1.7e9 + n // 3 * 40 + late, "n": n, "f": "xy"[int(rng.integers(2))], "A": float(rng.integers(0, 3)), "B": float(rng.integers(0, 2))})
+    return rows, spark.createDataFrame([tuple(r.values()) for r in rows], "u string, c string, at double, n long, f string, A double, B double")
+
+
+def test_time_windows_out_of_order_make_no_pairs(clock):
+    rows, df = clock
+    acc = T.accumulate_tensor(df, ["u"], ["c"], ["A", "B"], ["n"], T.Tensor(default=(1.0, 10), time="at", time_unit="mins"), "product", numeric_time=True)
+    assert {u: v[0] for u, v in by_unit(acc.counts, acc.names).items()} == slow_grounds(rows, lambda r, g: r["at"] - g["at"] < 600, lambda r, g: 1.0)
+    assert "Join" not in acc.counts._jdf.queryExecution().optimizedPlan().toString()
