@@ -1,10 +1,13 @@
-"""Horizons against a window in each unit's own context, with plans that do not grow with the units."""
+"""Horizons and windows of tensors against slow versions, with plans that make no pairs and no copies for units."""
+
+import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from codeweave.operators import tensor as T
+from codeweave.plans import sweep
 
 
 def by_unit(df, names):
@@ -76,3 +79,36 @@ def test_time_windows_out_of_order_make_no_pairs(clock):
     acc = T.accumulate_tensor(df, ["u"], ["c"], ["A", "B"], ["n"], T.Tensor(default=(1.0, 10), time="at", time_unit="mins"), "product", numeric_time=True)
     assert {u: v[0] for u, v in by_unit(acc.counts, acc.names).items()} == slow_grounds(rows, lambda r, g: r["at"] - g["at"] < 600, lambda r, g: 1.0)
     assert "Join" not in acc.counts._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("time", [None, "at"])
+@pytest.mark.parametrize("roles", [["sender"], ["receiver"], ["mode", "receiver"]])
+def test_wide_windows_of_cells_make_no_pairs(clock, time, roles):
+    """Windows and weights that depend on both lines, infinite and empty ones among them."""
+    rows, df = clock
+    windows = iter([(2.0, math.inf), (1.0, 0), (0.5, 700), (1.0, 65)])
+    cells = {key: next(windows) for key in ([("x",), ("y",)] if len(roles) == 1 else [(a, b) for a in "xy" for b in "xy"])}
+    side = lambda r, g: tuple((r if role == "receiver" else g)["f"] for role in roles)
+    places = {}
+    for r in rows:
+        places[r["n"]] = r["at"] if time else sum(x["c"] == r["c"] and x["n"] < r["n"] for x in rows)
+    acc = T.accumulate_tensor(df, ["u"], ["c"], ["A", "B"], ["n"], T.Tensor([("f", x) for x in roles], cells, (1.0, 4), time), "product", numeric_time=True)
+    want = slow_grounds(rows, lambda r, g: places[r["n"]] - places[g["n"]] < cells[side(r, g)][1], lambda r, g: cells[side(r, g)][0])
+    assert {u: v[0] for u, v in by_unit(acc.counts, acc.names).items()} == want
+    assert "Join" not in acc.counts._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rounded_places_and_values_that_are_not_finite():
+    at = np.sort(np.round(np.random.default_rng(2).random(500), 2) * 0.7)
+    for window in (0.1, 0.3, 0.0, math.inf):
+        line = np.concatenate([at, at + window, [math.inf, -math.inf]])
+        k = sweep.first_within(at, line, np.full(len(line), window))
+        assert [int(x) for x in k] == [len(at) - int((x - at < window).sum()) for x in line]
+    n = np.arange(1, 1501, dtype="int32")
+    v = np.where(n == 1000, np.nan, 1.0)
+    zero = np.zeros(1500, "int32")
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in (n, n * 1.0, n * 1.0, zero, zero, v)], names=["__n", "__at", "__low", "__g", "__r", "x"])
+    parts = [batch.slice(0, 700), batch.slice(700, 3), batch.slice(703)]
+    got = np.concatenate([b.column("__h0").to_numpy() for b in sweep.window_sums(["x"], np.array([[101.0]]), np.array([[1.0]]))(iter(parts))])
+    want = [v[max(0, k - 100) : k].sum() for k in range(1500)]
+    assert np.array_equal(got, want, equal_nan=True) and np.isnan(got).sum() == 100
